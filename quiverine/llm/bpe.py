@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, ship, text_of
-from .vocab import Chunks, Vocabulary, default_path, vocabulary
+from .vocab import Chunks, Vocabulary, default_path, packed, vocabulary
 
 #: Entries that the pair table keeps at most; it is filled anew beyond that.
 PAIRS_KEPT = 1_000_000
@@ -144,23 +145,25 @@ class Codec:
         self.vocab = vocabulary(path)
         self.encoder, self.decoder = Encoder(self.vocab), Decoder(self.vocab)
         self.decimals = decimals(self.vocab.size)
-        self.chunks = Chunks(self.words)
+        self.kind = self.vocab.kind
+        self.chunks = Chunks(self.whole, self.words)
+
+    def _of_pieces(self, pieces: list[str | int]) -> list[list[int]]:
+        encode = self.encoder.encode
+        known = {p: [p] if isinstance(p, int) else encode(p.encode("utf-8", "surrogatepass")) for p in dict.fromkeys(pieces)}
+        return [known[p] for p in pieces]
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.fromiter(chain.from_iterable(self._of_pieces(self.vocab.pieces(t))), self.kind).tobytes() for t in texts]
 
     def words(self, words: list[str]) -> list[bytes]:
-        known: dict[str | int, bytes] = {}
-        out = []
-        for w in words:
-            parts = self.vocab.pieces(w)
-            for p in parts:
-                if p not in known:
-                    ids = [p] if isinstance(p, int) else self.encoder.encode(p.encode("utf-8", "surrogatepass"))
-                    known[p] = np.array(ids, "<u4").tobytes()
-            out.append(b"".join([known[p] for p in parts]))
-        return out
+        pieces, starts = self.vocab.cut(words)
+        return packed(self._of_pieces(pieces), starts, self.kind)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self.chunks.values(texts) if self.vocab.chunkable else [None] * len(texts)
-        return [np.frombuffer(self.words([t])[0] if f is None else b"".join(f), "<u4").astype(np.int64) for t, f in zip(texts, found, strict=True)]
+        raw = (self.whole([t])[0] if f is None else b"".join(f) for t, f in zip(texts, found, strict=True))
+        return [np.frombuffer(r, self.kind).astype(np.int64) for r in raw]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""

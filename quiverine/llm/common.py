@@ -61,6 +61,8 @@ class Scratch:
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application."""
+    # Very long texts: a batch that goes to Python is bounded in bytes, not only in rows.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     context = spark.sparkContext
     if getattr(context, "_quiverine_shipped", False):
         return
@@ -88,6 +90,18 @@ def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def slices(sizes: Iterable[int], limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of items that hold about ``limit`` bytes each."""
+    start = held = end = 0
+    for end, n in enumerate(sizes, 1):
+        held += n
+        if held >= limit:
+            yield start, end
+            start, held = end, 0
+    if start < end:
+        yield start, end
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or the first lengthened form of it that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}
@@ -99,15 +113,9 @@ def free_name(df: DataFrame, name: str) -> str:
 def batches(rows: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the incoming batches that hold about ``limit`` bytes of ``column`` each."""
     for batch in rows:
-        start, held = 0, 0
-        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
-        for i, n in enumerate(sizes.tolist()):
-            held += n
-            if held >= limit:
-                yield batch.slice(start, i + 1 - start)
-                start, held = i + 1, 0
-        if start < batch.num_rows:
-            yield batch.slice(start)
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        for start, end in slices(sizes, limit):
+            yield batch.slice(start, end - start)
 
 
 def split_count(spark: SparkSession) -> int:

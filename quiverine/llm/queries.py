@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, sharding, token_count, wavelet
+from . import bpe, chat, exact_dedup, mixing, near_dedup, quality, sharding, token_count, wavelet
 from .common import documents
 
 
@@ -18,6 +18,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(documents(spark, sf_dir), limit=512)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     control = "<|im_end|><|im_start|>assistant ok"
@@ -33,6 +41,10 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir), shards=40)
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.components(documents(spark, sf_dir), near_dedup.Near(width=3, percent=85))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
@@ -40,8 +52,11 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_ids": op1_wavelet_ids,
     "op2_token_counts": op2_token_counts,
+    "op3_quality": op3_quality,
+    "op4_mix": op4_mix,
     "op5_chat_format": op5_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_near_dedup": op7_near_dedup,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_jump_shards": op10_jump_shards,
 }

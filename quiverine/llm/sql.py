@@ -24,7 +24,37 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
+OP4 = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce("text", ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS draw
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS total, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+  FROM d GROUP BY source
+), f AS (
+  SELECT *,
+    CAST(sum(total) OVER () - coalesce(sum(3 * total) OVER earlier, 0) AS BIGINT) AS words_left,
+    CAST(sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0) AS BIGINT) AS weight_left
+  FROM s WINDOW earlier AS (ORDER BY 3 * total / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), g AS (
+  SELECT *, bool_and(3 * total * weight_left <= weight * words_left) OVER o AS is_full FROM f
+  WINDOW o AS (ORDER BY 3 * total / weight, source NULLS LAST)
+), t AS (
+  SELECT source, total, CASE WHEN is_full THEN CAST(3 * total AS DOUBLE)
+    ELSE weight * ((SELECT max(words_left) FROM g WHERE NOT is_full) / (SELECT max(weight_left) FROM g WHERE NOT is_full)) END AS target
+  FROM g
+), o AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d
+)
+SELECT doc_id, size, total AS source_size, target,
+  CAST(size * (SELECT count(*) FROM range(3) r(k) WHERE CAST(o.before + r.k * t.total AS DOUBLE) + o.size / 2 < t.target) AS BIGINT) AS taken
+FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_mix": OP4,
     "op5_chat_format": OP5,
     "op6_exact_dedup": OP6,
 }

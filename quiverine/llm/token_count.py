@@ -108,19 +108,25 @@ class Counter:
     def __init__(self, path: str) -> None:
         self.vocab = vocabulary(path)
         self.merger = Merger(self.vocab)
-        self.chunks = Chunks(self.words)
+        self.chunks = Chunks(self.whole, self.words)
 
-    def words(self, words: list[str]) -> list[int]:
-        lists = [self.vocab.pieces(w) for w in words]
-        single = {p: i for i, p in enumerate(dict.fromkeys(p for pieces in lists for p in pieces if isinstance(p, str)))}
+    def _of_pieces(self, pieces: list[str | int]) -> np.ndarray:
+        single = {p: i for i, p in enumerate(dict.fromkeys(p for p in pieces if isinstance(p, str)))}
         n = self.merger.counts([p.encode("utf-8", "surrogatepass") for p in single]).tolist()
-        return [sum(1 if isinstance(p, int) else n[single[p]] for p in pieces) for pieces in lists]
+        return np.array([1 if isinstance(p, int) else n[single[p]] for p in pieces], np.int64)
+
+    def whole(self, texts: list[str]) -> list[int]:
+        return [int(self._of_pieces(self.vocab.pieces(t)).sum()) for t in texts]
+
+    def words(self, words: list[str]) -> list[int]:
+        pieces, starts = self.vocab.cut(words)
+        return np.add.reduceat(self._of_pieces(pieces), starts).tolist()
 
     def count(self, texts: list[str]) -> list[int]:
         if not self.vocab.chunkable:
-            return self.words(texts)
+            return self.whole(texts)
         found = self.chunks.values(texts)
-        odd = iter(self.words([t for t, f in zip(texts, found, strict=True) if f is None]))
+        odd = iter(self.whole([t for t, f in zip(texts, found, strict=True) if f is None]))
         return [next(odd) if f is None else sum(f) for f in found]
 
 

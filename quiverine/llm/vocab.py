@@ -6,6 +6,7 @@ import json
 import os
 from collections.abc import Callable, Sequence
 from functools import cached_property, lru_cache
+from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -60,13 +61,16 @@ class Vocabulary:
         for s, i in self.special.items():
             self.token_bytes[i] = s.encode()
         self.byte_id = np.array([vocab[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])], np.int64)
+        pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         #: By rank: left part, right part, whole.
-        self.merges: list[tuple[int, int, int]] = []
-        for m in spec["model"]["merges"]:
-            a, b = m.split(" ") if isinstance(m, str) else m
-            self.merges.append((vocab[a], vocab[b], vocab[a + b]))
+        self.merges: list[tuple[int, int, int]] = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
         self._special_at = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
+    @property
+    def kind(self) -> str:
+        """The numpy type that holds an id."""
+        return "<u2" if self.size <= 1 << 16 else "<u4"
+
     @cached_property
     def library(self) -> Any:
         from tokenizers import Tokenizer
@@ -98,11 +102,33 @@ class Vocabulary:
             at = m.end()
         return out + self.ordinary(text[at:])
 
+    def cut(self, words: list[str]) -> tuple[list[str | int], np.ndarray]:
+        """The pieces of all words one after another, each word with a space before it, and where each word begins.
+
+        The words have no space and begin with a visible character. As a space before
+        such a character always begins a piece, they can be cut all at once.
+        """
+        joined = " " + " ".join(words)
+        if UNSURE.search(joined) or (self._special_at and self._special_at.search(joined)):
+            lists = [self.pieces(" " + w) for w in words]
+            sizes = np.array([len(x) for x in lists], np.int64)
+            return [p for x in lists for p in x], np.cumsum(sizes) - sizes
+        pieces = _pieces.findall(joined)
+        return pieces, np.flatnonzero(np.fromiter((p[0] == " " for p in pieces), bool, len(pieces)))
+
     @property
     def chunkable(self) -> bool:
         return not any(" " in s for s in self.special)
 
 
+def packed(ids: Sequence[Sequence[int]], starts: np.ndarray, kind: str) -> list[bytes]:
+    """The ids of runs of pieces as bytes; a run goes from one start to the next."""
+    raw = np.fromiter(chain.from_iterable(ids), kind).tobytes()
+    ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) * np.dtype(kind).itemsize
+    bounds = [*np.concatenate([[0], ends])[starts].tolist(), len(raw)]
+    return [raw[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     """The vocabulary of a file, read once in each process."""
@@ -118,8 +144,9 @@ class Chunks:
     None for other texts, which are to be taken whole.
     """
 
-    def __init__(self, work_out: Callable[[list[str]], Sequence[Any]], limit: int = 400_000) -> None:
-        self.work_out, self.limit = work_out, limit
+    def __init__(self, whole: Callable[[list[str]], Sequence[Any]], words: Callable[[list[str]], Sequence[Any]], limit: int = 500_000) -> None:
+        """``whole`` works out texts as they are, ``words`` words with a space before each."""
+        self.whole, self.words, self.limit = whole, words, limit
         self.first: dict[str, Any] = {}
         self.later: dict[str, Any] = {}
 
@@ -136,7 +163,9 @@ class Chunks:
         new.difference_update(self.later)
         odd = {w for w in new if not w or w[0].isspace()}
         new -= odd
-        for store, found, lead in ((self.later, list(new), " "), (self.first, list(set(first).difference(self.first)), "")):
-            store.update(zip(found, self.work_out([lead + w for w in found]), strict=True) if found else ())
+        found = list(new)
+        self.later.update(zip(found, self.words(found), strict=True) if found else ())
+        found = list(set(first).difference(self.first))
+        self.first.update(zip(found, self.whole(found), strict=True))
         get = self.later.__getitem__
         return [None if odd and not odd.isdisjoint(w) else [self.first[f], *map(get, w)] for f, w in zip(first, words, strict=True)]

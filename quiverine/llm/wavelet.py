@@ -7,7 +7,7 @@ file holds the planes, a directory of ranks and the documents' ids and lengths,
 compressed with zstd.
 
 Defined results: a null text counts as empty and is its end id alone; documents are in
-order of their ids, null ids first and repeated ids by their token ids; an empty table
+order of their ids, null ids first and repeated ids by a hash of their texts; an empty table
 writes no shard and gives no rows; further columns are not read. A document is never
 split, so that one longer than a shard gets a shard of its own.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, batches, ship, split_count, text_of
-from .vocab import Chunks, default_path, vocabulary
+from .vocab import Chunks, byte_alphabet, default_path, vocabulary
 
 MAGIC = b"QWM1"
 #: Ranks are kept for every so many bits of a plane.
@@ -39,26 +39,33 @@ SHARD_TOKENS = 1 << 21
 class WaveletMatrix:
     """Ids as bit-planes with rank and select."""
 
-    def __init__(self, n: int, zeros: list[int], planes: list[np.ndarray], ranks: list[np.ndarray]) -> None:
-        self.n, self.zeros, self.planes, self.ranks = n, zeros, planes, ranks
+    def __init__(self, n: int, alphabet: np.ndarray, zeros: list[int], planes: list[np.ndarray], ranks: list[np.ndarray]) -> None:
+        self.n, self.alphabet, self.zeros, self.planes, self.ranks = n, alphabet, zeros, planes, ranks
 
     @property
     def levels(self) -> int:
         return len(self.planes)
 
     @staticmethod
-    def build(ids: np.ndarray, levels: int) -> WaveletMatrix:
-        now = ids.astype(np.uint16 if levels <= 16 else np.uint32)
+    def build(ids: np.ndarray) -> WaveletMatrix:
+        """Ids stand by their places in the order of frequency, so that high planes are nearly empty."""
+        counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+        alphabet = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+        codes = np.zeros(len(counts), np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)
+        codes[alphabet] = np.arange(len(alphabet))
+        now = codes[ids]
+        one = now.dtype.type(1)
         zeros, planes, ranks = [], [], []
-        for level in range(levels - 1, -1, -1):
-            bits = ((now >> now.dtype.type(level)) & now.dtype.type(1)).astype(bool)
-            low, high = now[~bits], now[bits]
+        for level in range(max(len(alphabet) - 1, 1).bit_length() - 1, -1, -1):
+            bits = ((now >> now.dtype.type(level)) & one).astype(bool)
+            # compress() copies without branching, several times as fast as a mask index here.
+            low, high = np.compress(~bits, now), np.compress(bits, now)
             plane = np.packbits(bits, bitorder="little")
             zeros.append(len(low))
             planes.append(plane)
             ranks.append(_block_ranks(plane))
             now = np.concatenate([low, high])
-        return WaveletMatrix(len(ids), zeros, planes, ranks)
+        return WaveletMatrix(len(ids), alphabet, zeros, planes, ranks)
 
     def _ones(self, level: int, at: int) -> int:
         """The set bits of a plane before a place."""
@@ -91,13 +98,18 @@ class WaveletMatrix:
             bit, ones = self._bit(level, at), self._ones(level, at)
             out = out << 1 | bit
             at = self.zeros[level] + ones if bit else at - ones
-        return out
+        return int(self.alphabet[out])
+
+    def _code(self, value: int) -> int:
+        """What stands for an id in the planes, or -1."""
+        at = np.flatnonzero(self.alphabet == value)
+        return int(at[0]) if len(at) else -1
 
     def _span(self, value: int, end: int) -> tuple[int, int]:
         """Where the occurrences of an id before ``end`` lie below the last plane."""
-        if value < 0 or value >> self.levels:
+        value, start = self._code(value), 0
+        if value < 0:
             return 0, 0
-        start = 0
         for level in range(self.levels):
             a, b = self._ones(level, start), self._ones(level, end)
             start, end = (self.zeros[level] + a, self.zeros[level] + b) if value >> (self.levels - 1 - level) & 1 else (start - a, end - b)
@@ -113,7 +125,7 @@ class WaveletMatrix:
         start, end = self._span(value, self.n)
         if not 0 <= number < end - start:
             raise IndexError(number)
-        at = start + number
+        at, value = start + number, self._code(value)
         for level in range(self.levels - 1, -1, -1):
             bit = value >> (self.levels - 1 - level) & 1
             at = self._place(level, bit, at - self.zeros[level] if bit else at)
@@ -130,10 +142,10 @@ class WaveletMatrix:
             bits = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             up = np.empty(self.n, kind)
             zeros = self.zeros[level]
-            up[~bits] = now[:zeros]
-            up[bits] = now[zeros:] | kind(1 << (self.levels - 1 - level))
+            up[np.flatnonzero(~bits)] = now[:zeros]
+            up[np.flatnonzero(bits)] = now[zeros:] | kind(1 << (self.levels - 1 - level))
             now = up
-        return now
+        return self.alphabet[now] if self.n else np.zeros(0, np.int64)
 
 
 def _block_ranks(plane: np.ndarray) -> np.ndarray:
@@ -148,7 +160,7 @@ def to_bytes(doc_ids: list[int | None], lengths: list[int], matrix: WaveletMatri
     pack = zstandard.ZstdCompressor(level=1).compress
     ids = np.array([0 if i is None else i for i in doc_ids], "<i8")
     missing = np.array([i is None for i in doc_ids], np.uint8)
-    parts = [pack(x.tobytes()) for x in (ids, missing, np.array(lengths, "<i8"))]
+    parts = [pack(x.tobytes()) for x in (ids, missing, np.array(lengths, "<i8"), matrix.alphabet.astype("<u4"))]
     for plane, ranks in zip(matrix.planes, matrix.ranks, strict=True):
         parts += [pack(plane.tobytes()), pack(ranks.astype("<u4").tobytes())]
     header = json.dumps({"documents": len(doc_ids), "tokens": matrix.n, "zeros": matrix.zeros, "parts": [len(p) for p in parts]}).encode()
@@ -167,9 +179,9 @@ def from_bytes(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
         parts.append(unpack(data[at : at + size]))
         at += size
     ids, missing, lengths = np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], np.uint8), np.frombuffer(parts[2], "<i8")
-    planes = [np.frombuffer(p, np.uint8) for p in parts[3::2]]
-    ranks = [np.frombuffer(p, "<u4") for p in parts[4::2]]
-    return [None if m else i for i, m in zip(ids.tolist(), missing.tolist(), strict=True)], lengths, WaveletMatrix(header["tokens"], header["zeros"], planes, ranks)
+    planes = [np.frombuffer(p, np.uint8) for p in parts[4::2]]
+    ranks = [np.frombuffer(p, "<u4") for p in parts[5::2]]
+    return [None if m else i for i, m in zip(ids.tolist(), missing.tolist(), strict=True)], lengths, WaveletMatrix(header["tokens"], np.frombuffer(parts[3], "<u4"), header["zeros"], planes, ranks)
 
 
 def open_folder(uri: str):  # noqa: ANN201
@@ -191,21 +203,67 @@ def put(uri: str, name: str, data: bytes) -> None:
 
 
 class Ids:
-    """Ids of texts as the tokenizers library gives them; words are encoded once while they are remembered."""
+    """Ids of texts as the tokenizers library gives them.
+
+    Most words of a text were seen before, and are remembered within a bound. The
+    pieces of new ones go to the library's model many at a time, spelled in the byte
+    alphabet and parted by a byte that no UTF-8 text has; texts in which words can't be
+    told apart go to the library whole.
+    """
 
     def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
         self.vocab = vocabulary(path)
-        self.kind = "<u2" if self.vocab.size <= 1 << 16 else "<u4"
-        self.chunks = Chunks(self.words)
+        self.kind = self.vocab.kind
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        bare = {"version": "1.0", "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}, "model": spec["model"]}
+        self.model = Tokenizer.from_str(json.dumps(bare))
+        self.spelling = str.maketrans({chr(b): c for c, b in byte_alphabet().items()})
+        self.bar = "\xff".translate(self.spelling)
+        self.bar_id = self.model.token_to_id(self.bar)
+        self.chunks = Chunks(self.whole, self.words)
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(texts), 256):
+            found = self.vocab.library.encode_batch_fast(texts[at : at + 256], add_special_tokens=False)
+            out += [np.array(e.ids, self.kind).tobytes() for e in found]
+        return out
+
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of some ordinary pieces, as bytes."""
+        spelled = b"\xff".join([p.encode("utf-8", "surrogatepass") for p in pieces])
+        names = spelled.decode("latin-1").translate(self.spelling).split(self.bar)
+        lines = [f" {self.bar} ".join(names[i : i + 200]) for i in range(0, len(names), 200)]
+        out: list[bytes] = []
+        width = np.dtype(self.kind).itemsize
+        for e in self.model.encode_batch_fast(lines, add_special_tokens=False):
+            ids = np.array(e.ids, self.kind)
+            bars = np.flatnonzero(ids == self.bar_id) * width
+            raw = ids.tobytes()
+            out += [raw[i:j] for i, j in zip([0, *(bars + width).tolist()], [*bars.tolist(), len(raw)], strict=True)]
+        return out
 
     def words(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.vocab.library.encode_batch_fast(words, add_special_tokens=False)]
+        out: list[bytes] = []
+        for at in range(0, len(words), 20_000):
+            pieces, starts = self.vocab.cut(words[at : at + 20_000])
+            new = [p for p in dict.fromkeys(pieces) if isinstance(p, str)]
+            known: dict[str | int, bytes] = dict(zip(new, self._of_pieces(new), strict=True)) if new else {}
+            known |= {i: np.array([i], self.kind).tobytes() for i in self.vocab.special.values()}
+            found = [known[p] for p in pieces]
+            raw = b"".join(found)
+            bounds = [*np.cumsum([0, *map(len, found)])[starts].tolist(), len(raw)]
+            out += [raw[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.vocab.chunkable:
-            return self.words(texts)
+            return self.whole(texts)
         found = self.chunks.values(texts)
-        odd = iter(self.words([t for t, f in zip(texts, found, strict=True) if f is None]))
+        odd = iter(self.whole([t for t, f in zip(texts, found, strict=True) if f is None]))
         return [next(odd) if f is None else b"".join(f) for f in found]
 
 
@@ -221,40 +279,33 @@ def ids_of(path: str) -> Ids:
 def write_shards(docs: DataFrame, folder: str, scratch: Scratch, tokenizer: str | None = None, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the documents' ids as wavelet files in ascending order of doc_id; returns (part, seq, name, documents, tokens).
 
-    Texts are encoded where they are read; only ids move, to range partitions. A task
-    holds the tokens of one shard and one document at a time.
+    Texts move once, to range partitions, and are encoded there. A task holds the
+    tokens of one shard at a time.
     """
     spark = docs.sparkSession
     ship(spark)
     path = tokenizer or default_path()
-    vocab = vocabulary(path)
-    levels, kind = max(1, (vocab.size - 1).bit_length()), "<u2" if vocab.size <= 1 << 16 else "<u4"
-
-    def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = ids_of(path), np.array([end_id], kind).tobytes()
-        for batch in batches(rows, "text"):
-            ids = [x + end for x in own.encode(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+    kind = vocabulary(path).kind
 
     def build(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list[str] = ["part", "seq", "name", "documents", "tokens"]
+        own, end = ids_of(path), np.array([end_id], kind).tobytes()
         held: list[bytes] = []
         doc_ids: list[int | None] = []
         tokens, part, seq = 0, None, 0
 
         def close() -> pa.RecordBatch:
             sizes = [len(x) // np.dtype(kind).itemsize for x in held]
-            data = to_bytes(doc_ids, sizes, WaveletMatrix.build(np.frombuffer(b"".join(held), kind), levels))
+            data = to_bytes(doc_ids, sizes, WaveletMatrix.build(np.frombuffer(b"".join(held), kind)))
             put(folder, name := f"shard-{part:06d}-{seq:06d}.wm", data)
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, seq, name, len(held), sum(sizes))], names=names)
 
-        for batch in rows:
-            columns = (batch.column(c).to_pylist() for c in ("part", "doc_id", "ids"))
-            for part_, doc_id, ids in zip(*columns, strict=True):
-                part = part_
-                held.append(ids)
+        for batch in batches(rows, "text"):
+            part = batch.column("part")[0].as_py()
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.encode(batch.column("text").to_pylist()), strict=True):
+                held.append(ids + end)
                 doc_ids.append(doc_id)
-                tokens += len(ids) // np.dtype(kind).itemsize
+                tokens += len(held[-1]) // np.dtype(kind).itemsize
                 if tokens >= shard_tokens:
                     yield close()
                     held, doc_ids, tokens, seq = [], [], 0, seq + 1
@@ -262,13 +313,9 @@ def write_shards(docs: DataFrame, folder: str, scratch: Scratch, tokenizer: str
             yield close()
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    # Written first: finding the ranges reads its input, and texts are to be encoded once.
-    encoded = scratch.table(given.mapInArrow(encode, "doc_id long, ids binary"), "encoded")
-    ranged = encoded.repartitionByRange(split_count(spark), "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
-    shards = ranged.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "ids").mapInArrow(build, "part long, seq long, name string, documents long, tokens long")
-    manifest = scratch.table(shards, "manifest")
-    scratch.drop("encoded")
-    return manifest
+    ranged = given.repartitionByRange(split_count(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    shards = ranged.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "text").mapInArrow(build, "part long, seq long, name string, documents long, tokens long")
+    return scratch.table(shards, "manifest")
 
 
 def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
