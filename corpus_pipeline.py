@@ -1,8 +1,62 @@
-"""From raw documents to token ids, in stages that hand over Parquet."""
+"""From raw documents to token ids, in stages that hand over Parquet.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir) and works on all documents that the stage before
+kept. All but the last return documents with their columns.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quiverine.llm import bpe, exact_dedup, mixing, near_dedup, quality
+from quiverine.llm.common import Scratch, documents
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.keep_first(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five words, a similarity of 0.8 or more."""
+    return near_dedup.keep_first(docs, near_dedup.Near(width=5, percent=80))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them, in training order."""
+    return mixing.mixed(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's token ids, by count and digest, checked by decoding them."""
+    return bpe.round_trip(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", good_quality),
+    ("exact dedup", without_copies),
+    ("near dedup", without_near_copies),
+    ("mixing sources", mixed_sources),
+    ("BPE encoding", token_ids),
+]
+
+#: No SQL for a fitted classifier and BPE merges; the stages are tested against brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each stage's result is written and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = documents(spark, sf_dir)
+    for number, (_, stage) in enumerate(STAGES):
+        docs = scratch.table(stage(spark, docs, sf_dir), f"stage-{number}")
+        if number:
+            scratch.drop(f"stage-{number - 1}")
+    return docs

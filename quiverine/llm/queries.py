@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, mixing, near_dedup, quality, sharding, token_count, wavelet
+from . import ann, bpe, chat, exact_dedup, mixing, near_dedup, quality, sharding, token_count, wavelet
 from .common import documents
 
 
@@ -45,6 +45,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components(documents(spark, sf_dir), near_dedup.Near(width=3, percent=85))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, every=20)
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": op5_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_near_dedup": op7_near_dedup,
+    "op8_nearest": op8_nearest,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_jump_shards": op10_jump_shards,
 }
