@@ -1,0 +1 @@
+"""Vector search and multimodal analytics on Spark DataFrames."""
