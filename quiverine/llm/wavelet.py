@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, batches, ship, split_count, text_of
-from .vocab import Chunks, byte_alphabet, default_path, vocabulary
+from .vocab import byte_alphabet, default_path, vocabulary
+from .words import WordTable
 
 MAGIC = b"QWM1"
 #: Ranks are kept for every so many bits of a plane.
@@ -223,7 +224,7 @@ class Ids:
         self.spelling = str.maketrans({chr(b): c for c, b in byte_alphabet().items()})
         self.bar = "\xff".translate(self.spelling)
         self.bar_id = self.model.token_to_id(self.bar)
-        self.chunks = Chunks(self.whole, self.words)
+        self.table = WordTable(self.words, self.whole, self.kind)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -260,11 +261,7 @@ class Ids:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.vocab.chunkable:
-            return self.whole(texts)
-        found = self.chunks.values(texts)
-        odd = iter(self.whole([t for t, f in zip(texts, found, strict=True) if f is None]))
-        return [next(odd) if f is None else b"".join(f) for f in found]
+        return self.table.encode(texts) if self.vocab.chunkable else self.whole(texts)
 
 
 _ids: dict[str, Ids] = {}
