@@ -6,14 +6,18 @@ hash of the bin and the attempt chooses, which keeps the estimate unbiased (opti
 densification). Bands of the signature are buckets. Texts with one and the same set of
 shingles are one class from the start, so that copies cost nothing from here on.
 
-In a bucket, only edges between its smallest class, the hub, and the others become
-candidates: a star, not all pairs. Each candidate is confirmed on the full sets. Where
-all edges hold, the bucket is done. Otherwise those that aren't linked stay open: the
-smallest of them is the next hub, and so on until none is open. Linked classes must
-meet later hubs only where the distances to the earlier hub leave room for a link:
-Jaccard distance is a metric, so two classes whose distances to a hub differ by more
-than the limit can't be linked. So no bucket loses a link, and no pair is compared twice
-in a round.
+In a bucket, edges between one class, the hub, and the others become candidates: a
+star, not all pairs. The hub is the class that meets most others over all its buckets:
+of many copies of a text, each with changes of its own, that is the text itself. Each
+candidate is confirmed on the full sets, and components are formed. A bucket within one
+component is done. Of another one, all classes outside of the hub's component stay, and
+of those inside the ones that the distances to the hub leave room for: Jaccard distance
+is a metric, so two classes whose distances to a hub differ by more than the limit can't
+be linked. What is left, a few classes as a rule, is compared by signatures; pairs of
+different components that may reach the threshold are confirmed as well. A rest that is
+too large for a task gets further stars, around classes outside of its largest
+component, until it is small or of one component. So no link between components is
+lost, and candidates stay near the number of rows.
 
 Components come from alternating large-star and small-star steps on tables; nothing is
 gathered on the driver but counts.
@@ -34,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, batches, free_name, ship, text_of
 from .shingles import mixed, shingle_sets
@@ -42,6 +47,13 @@ from .shingles import mixed, shingle_sets
 BANDS = 32
 #: The chance of missing a pair at the threshold is this at most.
 MISS = 1e-6
+#: A bucket's rest is compared by signatures in one task if it has so many classes at most,
+#: and if they make so many pairs at most with those outside of its largest component.
+REST, REST_PAIRS = 16_384, 1 << 21
+#: Hubs of a further star in a bucket.
+HUBS = 32
+#: Bins of the sketches that a rest is compared by, each of 8 bits.
+SKETCH = 1024
 #: A hub's edges are dealt out in groups of about so many, each with its own copy of the hub's set.
 EDGES_AT_ONCE = 512
 #: Classes of at least 1 in so many rows are looked up in a broadcast table; there are no more of them than this.
@@ -63,6 +75,10 @@ class Near:
             r += 1
         return r
 
+    @property
+    def bins(self) -> int:
+        return BANDS * self.rows
+
     @property
     def least(self) -> int:
         """The smallest set that can be linked with a different one."""
@@ -118,13 +134,13 @@ def signed(docs: DataFrame, near: Near) -> DataFrame:
     """One row per document: doc_id, n_shingles, key_a, key_b, bands (null where the set can't be linked with another)."""
 
     def sign(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, "text", 1 << 20):
+        for batch in batches(rows, "text", 512 << 10):
             sets, sizes = shingle_sets(_texts(batch), near.width)
             a, b = set_keys(sets, sizes)
             long = sizes >= near.least
             marks: list[np.ndarray | None] = [None] * len(sizes)
             if long.any():
-                found = bands(signatures(sets[np.repeat(long, sizes)], sizes[long], BANDS * near.rows), near.rows)
+                found = bands(signatures(sets[np.repeat(long, sizes)], sizes[long], near.bins), near.rows)
                 for i, mark in zip(np.flatnonzero(long).tolist(), found, strict=True):
                     marks[i] = mark
             columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(a), pa.array(b), pa.array(marks, pa.list_(pa.int64()))]
@@ -134,15 +150,74 @@ def signed(docs: DataFrame, near: Near) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, near: Near) -> DataFrame:
-    """The documents' sets of shingles: doc_id, shingles."""
+    """The documents' sets of shingles, and marks to compare them by: doc_id, shingles, marks.
+
+    Marks are 32 bits of each band's hash, then a sketch: a signature of more bins,
+    with 8 bits of each.
+    """
 
     def sets_of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, "text", 1 << 20):
+        for batch in batches(rows, "text", 512 << 10):
             sets, sizes = shingle_sets(_texts(batch), near.width)
             offsets = np.concatenate([[0], np.cumsum(sizes)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(sets.view(np.int64)))], names=["doc_id", "shingles"])
-
-    return docs.mapInArrow(sets_of, "doc_id long, shingles array<long>")
+            marks: list[bytes | None] = [None] * len(sizes)
+            full = np.flatnonzero(sizes)
+            if len(full):
+                own = bands(signatures(sets, sizes[full], near.bins), near.rows).astype("<u4").view(np.uint8)
+                sketch = mixed(signatures(sets, sizes[full], SKETCH)).astype(np.uint8)
+                for i, mark in zip(full.tolist(), np.concatenate([own, sketch], 1), strict=True):
+                    marks[i] = mark.tobytes()
+            columns = [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(sets.view(np.int64))), pa.array(marks, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shingles", "marks"])
+
+    return docs.mapInArrow(sets_of, "doc_id long, shingles array<long>, marks binary")
+
+
+def _likely(rest: DataFrame, near: Near) -> DataFrame:
+    """Of rows (bucket, band, member, component, marks) that come bucket by bucket, the pairs (hub, member) that may be linked.
+
+    Only pairs of different components count, each in the first band that they share:
+    there it is met, or was ruled out by its distances to a hub. The share of equal bins of
+    the sketches estimates the similarity; a pair falls out where it lies five standard
+    deviations below the threshold.
+    """
+    t = near.percent / 100
+    needed = int(SKETCH * (t - 5 * np.sqrt(t * (1 - t) / SKETCH)))
+
+    def pairs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in rows:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if batch.column("bucket")[-1] != held[0].column("bucket")[0]:
+                # The last bucket may go on in the next batch.
+                whole = pa.Table.from_batches(held).combine_chunks()
+                last = int(np.flatnonzero(np.diff(whole["bucket"].to_numpy()))[-1]) + 1
+                yield _pairs_of(whole.slice(0, last), needed)
+                held = whole.slice(last).to_batches()
+        if held:
+            yield _pairs_of(pa.Table.from_batches(held).combine_chunks(), needed)
+
+    return rest.mapInArrow(pairs, "hub long, member long")
+
+
+def _pairs_of(rows: pa.Table, needed: int) -> pa.RecordBatch:
+    bucket, band, member, component = (rows[c].to_numpy() for c in ("bucket", "band", "member", "component"))
+    marks = np.frombuffer(b"".join(rows["marks"].to_pylist()), np.uint8).reshape(len(rows), -1)
+    own, sketch = np.ascontiguousarray(marks[:, : 4 * BANDS]).view("<u4"), marks[:, 4 * BANDS :]
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(rows)]]).tolist()
+    low: list[np.ndarray] = [np.zeros(0, np.int64)]
+    high: list[np.ndarray] = [np.zeros(0, np.int64)]
+    for start, end in zip(edges, edges[1:], strict=False):
+        for i in range(start, end - 1):
+            others = np.flatnonzero(component[i + 1 : end] != component[i]) + i + 1
+            others = others[(sketch[others] == sketch[i]).sum(1) >= needed]
+            earlier = (own[others, : band[i]] == own[i, : band[i]]).any(1)
+            others = member[others[~earlier]]
+            low.append(np.minimum(others, member[i]))
+            high.append(np.maximum(others, member[i]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(low)), pa.array(np.concatenate(high))], names=["hub", "member"])
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
@@ -170,32 +245,61 @@ def _confirmed(edges: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
 def links(classes: DataFrame, docs: DataFrame, near: Near, scratch: Scratch) -> DataFrame:
     """Confirmed edges (hub, member) that connect what any two classes of a bucket connect."""
     spark = docs.sparkSession
-    rows = scratch.table(classes.filter("bands is not null").select(F.explode("bands").alias("bucket"), F.col("rep").alias("member")), "buckets")
-    shared = rows.groupBy("bucket").agg(F.min("member").alias("hub"), F.max("member").alias("last")).filter("hub < last").select("bucket")
-    # ``open``: not linked with an earlier hub of the bucket.
-    state = scratch.table(rows.join(shared, "bucket").distinct().withColumn("open", F.lit(True)), "state-0")
+    rows = scratch.table(classes.filter("bands is not null").select(F.posexplode("bands").alias("band", "bucket"), F.col("rep").alias("member")), "buckets")
+    shared = rows.groupBy("bucket").agg(F.min("member").alias("first"), F.max("member").alias("last"), F.count(F.lit(1)).alias("size")).filter("first < last")
+    state = scratch.table(rows.join(shared.select("bucket", "size"), "bucket").distinct(), "state-0")
     scratch.drop("buckets")
-    asked = state.select(F.col("member").alias("doc_id")).distinct()
-    sets = scratch.table(full_sets(docs.join(asked, "doc_id", "left_semi"), near), "sets")
+    central = scratch.table(state.groupBy("member").agg(F.sum("size").alias("weight")), "central")
+    state = scratch.table(state.drop("size").join(central, "member").select("bucket", "band", "member", "weight"), "weighted")
+    sets = scratch.table(full_sets(docs.join(central.select(F.col("member").alias("doc_id")), "doc_id", "left_semi"), near), "sets")
+    marks = sets.select(F.col("doc_id").alias("member"), "marks")
     found: list[str] = []
+
+    def confirm(pairs: DataFrame, name: str) -> DataFrame:
+        checked = scratch.table(_confirmed(pairs.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member")).distinct(), sets, near), name)
+        found.append(scratch.path(name))
+        return checked
+
+    def edges() -> DataFrame:
+        return spark.read.schema("hub long, member long, linked boolean, distance double").parquet(*found).filter("linked").select("hub", "member").distinct()
+
     slack, turn = 1 - near.percent / 100 + 1e-9, 0
     while True:
-        hubs = state.filter("open").groupBy("bucket").agg(F.min("member").alias("hub"))
-        rest = state.join(hubs, "bucket").filter("member <> hub")
-        pairs = rest.select("hub", "member").distinct()
-        checked = scratch.table(_confirmed(pairs, sets, near), f"checked-{turn}")
-        found.append(scratch.path(f"checked-{turn}"))
-        after = rest.join(checked, ["hub", "member"]).withColumn("open", F.col("open") & ~F.col("linked"))
+        turn += 1
+        # The first star has one hub in each bucket; later ones, for large rests, several.
+        if turn == 1:
+            hubs = state.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("member")).alias("id"))).alias("top")).select("bucket", (-F.col("top.id")).alias("hub"))
+        else:
+            order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "member")
+            hubs = state.filter("component <> major").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= HUBS).select("bucket", F.col("member").alias("hub"))
+            state = state.select("bucket", "band", "member", "weight")
+        met = scratch.table(state.join(hubs, "bucket").filter("member <> hub"), f"met-{turn}")
+        checked = confirm(met, f"checked-{turn}")
+        label = connected(edges(), Scratch(spark, "near-dedup-star"))
+        labelled = lambda d, c, to: d.join(label.select(F.col("node").alias(c), F.col("component").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
+        named = met.select("bucket", "band", "member", "weight", "hub", F.least("hub", "member").alias("low"), F.greatest("hub", "member").alias("high"))
+        known = named.join(checked.select(F.col("hub").alias("low"), F.col("member").alias("high"), "distance"), ["low", "high"])
+        known = labelled(labelled(known, "member", "component"), "hub", "hub_component").withColumn("open", F.col("component") != F.col("hub_component"))
+        # Of several hubs one measures the distances.
+        after = known.groupBy("bucket", "member").agg(F.first("band").alias("band"), F.first("weight").alias("weight"), F.first("component").alias("component"), F.min(F.struct("hub", "open", "distance")).alias("to"))
+        after = after.select("bucket", "band", "member", "weight", "component", "to.open", "to.distance")
+        if turn > 1:
+            after = after.join(hubs.withColumnRenamed("hub", "member"), ["bucket", "member"], "left_anti")
         left = after.filter("open").groupBy("bucket").agg(F.min("distance").alias("near_end"), F.max("distance").alias("far_end"))
-        # Open classes stay; others where one of the open ones may be linked with them.
         within = F.col("distance").between(F.col("near_end") - slack, F.col("far_end") + slack)
-        following = after.join(left, "bucket").filter(F.col("open") | within).select("bucket", "member", "open")
-        turn += 1
-        state = scratch.table(following, f"state-{turn}")
-        scratch.drop(f"state-{turn - 1}")
-        if not state.limit(1).count():
-            break
-    return spark.read.schema(checked.schema).parquet(*found).filter("linked").select("hub", "member").distinct()
+        kept = scratch.table(after.join(left, "bucket").filter(F.col("open") | within).select("bucket", "band", "member", "weight", "component"), f"state-{turn}")
+        scratch.drop(f"state-{turn - 1}", f"met-{turn}")
+        # Buckets of one component are done.
+        by_component = kept.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+        largest = F.max(F.struct("n", "component"))
+        several = by_component.groupBy("bucket").agg(F.sum("n").alias("all"), largest["n"].alias("most"), largest["component"].alias("major")).filter(F.col("all") > F.col("most"))
+        fits = (F.col("all") <= REST) & (F.col("all") * (F.col("all") - F.col("most")) <= REST_PAIRS)
+        dealt = kept.join(several.filter(fits).select("bucket"), "bucket").join(marks, "member").repartition("bucket").sortWithinPartitions("bucket", "member")
+        confirm(_likely(dealt.select("bucket", "band", "member", "component", "marks"), near), f"rest-{turn}")
+        large = several.filter(~fits).select("bucket", "major")
+        if not large.limit(1).count():
+            return edges()
+        state = scratch.table(kept.join(large, "bucket").select("bucket", "band", "member", "weight", "component", "major"), f"large-{turn}")
 
 
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -265,4 +369,5 @@ def keep_first(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", tex
     scratch = Scratch(docs.sparkSession, "near-keep")
     name = free_name(docs, "lost_id")
     lost = scratch.table(components(docs, near, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(name)).distinct(), "lost")
-    return docs.join(lost, F.col(id_col).cast("long") == F.col(name), "left_anti")
+    # The dropped ids grow with the input: never a broadcast.
+    return docs.join(lost.hint("merge"), F.col(id_col).cast("long") == F.col(name), "left_anti")
