@@ -11,6 +11,9 @@ in order; a target is 3 times its source's size at most, so that no document is
 more than 3 times; documents of size 0 are taken like others and add no words; ties of
 hashes are in order of ids; repeated ids are documents of their own; an empty table
 gives no rows; further columns are not read, or are kept as they are (``mixed``).
+
+Only whole documents are taken: those that end before the target in their source's
+order, and then the one document whose size comes nearest to what is still missing.
 """
 
 from __future__ import annotations
@@ -102,31 +105,50 @@ def placed(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (1, 2,
     wanted = targets([r["size"] for r in found], [weight(i) for i in range(len(found))], epochs)
     plan = {r.source: (r["size"], t, schedule(i)) for i, (r, t) in enumerate(zip(found, wanted, strict=True))}
 
-    def place(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             sources = batch.column("source").to_pylist()
             size, before = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("size", "before_size"))
             total, target = np.array([plan[s][0] for s in sources], np.int64), np.array([plan[s][1] for s in sources])
-            # A copy is taken if the middle of its words lies before the target.
+            ends = np.stack([before + size + k * total for k in range(epochs)], 1)
+            copies = (ends <= target[:, None]).sum(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copies)], names=[*batch.schema.names, "copies"])
+
+    ordered = running(sizes, scratch, "ordered", [F.col(c) for c in ("source", "draw", "doc_id", "size")], "source", ["size"])
+    kind = dict(sizes.dtypes)["doc_id"]
+    fields = f"doc_id {kind}, source string, size long, draw long, before_size long"
+    counted = scratch.table(ordered.select("doc_id", "source", "size", "draw", "before_size").mapInArrow(count, f"{fields}, copies long"), "counted")
+    # What is missing of each source, and the document that fills it best: a row for each source.
+    missing = {r.source: plan[r.source][1] - r.taken for r in counted.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()}
+    gaps = spark.createDataFrame(list(missing.items()), "gap_source string, gap double") if missing else spark.createDataFrame([], "gap_source string, gap double")
+    off = F.abs(F.col("size") - F.col("gap"))
+    fitting = counted.join(F.broadcast(gaps), F.col("source").eqNullSafe(F.col("gap_source"))).filter((F.col("copies") < epochs) & (F.col("size") > 0) & (off < F.col("gap")))
+    best = fitting.groupBy("source").agg(F.min(F.struct(off.alias("off"), "draw", "doc_id", "before_size")).alias("best"))
+    extra = {r.source: (r.best.draw, r.best.before_size) for r in best.collect()}
+
+    def place(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            sources = batch.column("source").to_pylist()
+            size, before, draw, copies = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("size", "before_size", "draw", "copies"))
+            total, target = np.array([plan[s][0] for s in sources], np.int64), np.array([plan[s][1] for s in sources])
+            added = np.array([s in extra and extra[s] == (d, b) for s, d, b in zip(sources, draw.tolist(), before.tolist(), strict=True)], bool) & (size > 0)
             middle = np.stack([before + k * total for k in range(epochs)], 1) + size[:, None] / 2
-            copies = (middle < target[:, None]).sum(1)
             share = np.divide(middle, target[:, None], out=np.zeros_like(middle), where=target[:, None] > 0)
+            # The document that fills up a source comes at the end of its target.
+            share[added, copies[added]] = 1 - size[added] / 2 / target[added]
+            copies = copies + added
             times = np.zeros_like(share)
             for s in set(sources):
                 own = np.array([x == s for x in sources])
                 times[own] = plan[s][2].time_of(share[own].ravel()).reshape(-1, epochs)
             offsets = np.concatenate([[0], np.cumsum(copies)])
-            flat = times[np.arange(epochs) < copies[:, None]]
+            flat = np.concatenate([np.sort(t[:n]) for t, n in zip(times, copies.tolist(), strict=True)] or [np.zeros(0)])
             columns = [batch.column("doc_id"), batch.column("size"), pa.array(total), pa.array(target), pa.array(size * copies), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "source_size", "target", "taken", "positions"])
 
-    ordered = running(sizes, scratch, "ordered", [F.col(c) for c in ("source", "draw", "doc_id", "size")], "source", ["size"])
-    kind = dict(sizes.dtypes)["doc_id"]
-    out = ordered.select("doc_id", "source", "size", "before_size").mapInArrow(
-        place, f"doc_id {kind}, size long, source_size long, target double, taken long, positions array<double>"
-    )
+    out = counted.mapInArrow(place, f"doc_id {kind}, size long, source_size long, target double, taken long, positions array<double>")
     table = scratch.table(out, "placed")
-    scratch.drop("sizes", "ordered")
+    scratch.drop("sizes", "ordered", "counted")
     return table
 
 
@@ -149,6 +171,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFra
         table = scratch.table(table.withColumn(f"{number}_", over(own)), "numbered")
         joined = docs.withColumn(number, over(id_col)).join(table, on & (F.col(number) == F.col(f"{number}_"))).drop(number, f"{number}_")
     else:
-        joined = docs.join(table, on)
+        # Both sides grow with the input: never a broadcast.
+        joined = docs.join(table.hint("merge"), on)
     copies = joined.drop(own).withColumn(position, F.explode(places)).drop(places)
     return copies.repartitionByRange(split_count(docs.sparkSession), position, id_col).sortWithinPartitions(position, id_col).drop(position)

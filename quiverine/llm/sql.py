@@ -48,9 +48,15 @@ WITH d AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d
 )
-SELECT doc_id, size, total AS source_size, target,
-  CAST(size * (SELECT count(*) FROM range(3) r(k) WHERE CAST(o.before + r.k * t.total AS DOUBLE) + o.size / 2 < t.target) AS BIGINT) AS taken
-FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source
+SELECT doc_id, size, source_size, target, CAST(size * (copies + CASE WHEN place = 1 THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM (
+  SELECT *, CASE WHEN copies < 3 AND size > 0 AND abs(size - gap) < gap THEN
+    row_number() OVER (PARTITION BY source, copies < 3 AND size > 0 AND abs(size - gap) < gap ORDER BY abs(size - gap), draw, doc_id, before) END AS place
+  FROM (SELECT *, target - sum(size * copies) OVER (PARTITION BY source) AS gap FROM (
+    SELECT o.*, t.total AS source_size, t.target,
+      CAST(t.target >= o.before + o.size AS INTEGER) + CAST(t.target >= o.before + o.size + t.total AS INTEGER) + CAST(t.target >= o.before + o.size + 2 * t.total AS INTEGER) AS copies
+    FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source))
+)
 """
 
 ORACLE_SQL: dict[str, str] = {
