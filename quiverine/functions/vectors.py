@@ -146,16 +146,20 @@ def projection_matrix(n: int, d: int, seed: int = 42) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((d, n))
 
 
-def projected(v: Column, n: int, d: int, seed: int = 42) -> Column:
-    """A random projection of an ``n``-vector to ``d`` components."""
+def projected(vectors: Sequence[Column], n: int, d: int, seed: int = 42) -> Column:
+    """A random projection of some vectors' outer product, of ``n`` components in all, to ``d``."""
+
     @F.pandas_udf("array<double>")
-    def project(part: pd.Series) -> pd.Series:
-        if not len(part):
+    def project(*parts: pd.Series) -> pd.Series:
+        if not len(parts[0]):
             return pd.Series([], dtype=object)
-        matrix = projection_matrix(n, d, seed)
-        return pd.Series(list(np.stack(part.to_numpy()).astype(float) @ matrix.T / np.sqrt(n)))
+        product, *others = (np.stack(p.to_numpy()).astype(float) for p in parts)
+        for other in others:
+            product = (product[:, :, None] * other[:, None, :]).reshape(len(product), -1)
+        return pd.Series(list(product @ projection_matrix(n, d, seed).T / np.sqrt(n)))
 
-    return project(doubles(v))
+    # So marked, it is worked out once, also where a generator follows.
+    return project.asNondeterministic()(*[doubles(v) for v in vectors])
 
 
 def checked(v: Column, dim: int) -> Column:

@@ -89,7 +89,7 @@ def tensor(embeddings: Embeddings, params: FusionParams, lengths: Lengths) -> Co
     if n is None:
         raise MultimodalError("tensor fusion needs the lengths of all vectors")
     dim = params.target_dimension or OWN_DIMENSION
-    return out if n <= dim else V.projected(out, n, dim)
+    return out if n <= dim else V.projected([e for _, e in _ordered(embeddings)], n, dim)
 
 
 def bilinear(embeddings: Embeddings, params: FusionParams, lengths: Lengths) -> Column:
