@@ -62,7 +62,7 @@ class Scratch:
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application."""
     # Very long texts: a batch that goes to Python is bounded in bytes, not only in rows.
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     context = spark.sparkContext
     if getattr(context, "_quiverine_shipped", False):
         return
@@ -90,7 +90,7 @@ def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def slices(sizes: Iterable[int], limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(sizes: Iterable[int], limit: int = 512 << 10) -> Iterator[tuple[int, int]]:
     """Bounds of runs of items that hold about ``limit`` bytes each."""
     start = held = end = 0
     for end, n in enumerate(sizes, 1):

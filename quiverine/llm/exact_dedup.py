@@ -158,9 +158,8 @@ def exact_dedup(docs: DataFrame, capacity: int = 1 << 16, bits: int = 60, id_col
 def keep_first(docs: DataFrame, capacity: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns.
 
-    Dropped documents are far fewer than kept ones or, where they are many, narrow:
-    only (id, digest) pairs are joined, and the texts stay in place where Spark can
-    broadcast the pairs. Rows that repeat both id and text are dealt with apart, as
+    The dropped documents' (id, digest) pairs grow with the input, so the texts move
+    once, to where their pairs are, at any size. Rows that repeat both id and text are dealt with apart, as
     there are none in a table with unique ids.
     """
     marked = exact_dedup(docs, capacity, id_col=id_col, text_col=text_col)
@@ -169,7 +168,7 @@ def keep_first(docs: DataFrame, capacity: int = 1 << 16, id_col: str = "doc_id",
     lost = scratch.table(marked.filter("not kept").select(F.col("doc_id").alias("lost_id"), F.col("text_sha256").alias("lost_sha"), (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("repeat")), "lost")
     with_sha = docs.withColumn(sha, digest(normalised(text_col)))
     on = lambda side: ident.eqNullSafe(side["lost_id"]) & (with_sha[sha] == side["lost_sha"])
-    copies = lost.filter("not repeat").distinct()
+    copies = lost.filter("not repeat").distinct().hint("merge")
     stay = with_sha.join(copies, on(copies), "left_anti")
     repeats = lost.filter("repeat").select("lost_id", "lost_sha").distinct()
     if repeats.limit(1).count():
