@@ -8,7 +8,7 @@ stay inside generated code and need no join.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -33,6 +33,11 @@ def literal(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in values]).cast("array<double>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once; inside of a lambda it would be for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
 
@@ -88,9 +93,11 @@ def euclidean(a: Column, b: Column) -> Column:
 
 def normalized(v: Column) -> Column:
     """The vector divided by its norm; a zero vector as it is."""
-    d = doubles(v)
-    length = norm(d)
-    return F.when(length > 0, F.transform(d, lambda x: x / F.nullif(length, F.lit(0.0)))).otherwise(d)
+
+    def divided(d: Column) -> Column:
+        return let(norm(d), lambda length: F.when(length > 0, F.transform(d, lambda x: x / F.nullif(length, F.lit(0.0)))).otherwise(d))
+
+    return let(doubles(v), divided)
 
 
 def bucket_bounds(n: int, d: int) -> list[tuple[int, int]]:

@@ -66,11 +66,17 @@ def weighted_average(embeddings: Embeddings, params: FusionParams, lengths: Leng
 def attention(embeddings: Embeddings, params: FusionParams, lengths: Lengths) -> Column:
     """Weights are the cosines with the mean vector, where positive, brought to a sum of 1."""
     dim = _target(embeddings, params, lengths)
-    context = V.average([e for _, e in _ordered(embeddings)])
-    heeded = [F.greatest(F.lit(0.0), V.cosine_similarity(e, context)) for _, e in _ordered(embeddings)]
-    whole = sum(heeded[1:], heeded[0])
-    shares = [F.when(whole > 0, h / F.nullif(whole, F.lit(0.0))).otherwise(0.0) for h in heeded]
-    return _sum([_scaled(V.aligned(e, dim, lengths.get(m)), s) for (m, e), s in zip(_ordered(embeddings), shares, strict=True)])
+    own = _ordered(embeddings)
+
+    def by_share(heeded: Column, whole: Column) -> Column:
+        shares = [F.when(whole > 0, heeded[i] / F.nullif(whole, F.lit(0.0))).otherwise(0.0) for i in range(len(own))]
+        return _sum([_scaled(V.aligned(e, dim, lengths.get(m)), s) for (m, e), s in zip(own, shares, strict=True)])
+
+    def by_context(context: Column) -> Column:
+        heeded = F.array(*[F.greatest(F.lit(0.0), V.cosine_similarity(e, context)) for _, e in own])
+        return V.let(heeded, lambda h: V.let(V.total(h), lambda whole: by_share(h, whole)))
+
+    return V.let(V.average([e for _, e in own]), by_context)
 
 
 def _outer(a: Column, b: Column) -> Column:

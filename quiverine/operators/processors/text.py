@@ -35,9 +35,12 @@ def weighted_buckets(docs: DataFrame, id_col: str, text_col: str, dim: int = DIM
 def embedding(text: Column, dim: int = DIMENSION, cut_long: bool = True) -> Column:
     """The embedding as a dense vector; zeros for a text without tokens."""
     pairs = F.transform(tokens(text, cut_long), lambda t: F.struct(bucket(t, dim).alias("b"), (F.lit(1.0) + 0.1 * F.length(t)).alias("w")))
-    buckets = F.array_distinct(F.transform(pairs, lambda p: p["b"]))
-    sums = F.map_from_arrays(buckets, F.transform(buckets, lambda b: V.total(F.transform(F.filter(pairs, lambda p: p["b"] == b), lambda p: p["w"]))))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(sums, i), F.lit(0.0)))
+
+    def sums(p: Column) -> Column:
+        buckets = F.array_distinct(F.transform(p, lambda x: x["b"]))
+        return F.map_from_arrays(buckets, F.transform(buckets, lambda b: V.total(F.transform(F.filter(p, lambda x: x["b"] == b), lambda x: x["w"]))))
+
+    dense = V.let(V.let(pairs, sums), lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))))
     return V.normalized(dense)
 
 

@@ -27,13 +27,12 @@ def mean(s: Column) -> Column:
 
 
 def deviation(s: Column) -> Column:
-    m = mean(s)
-    return F.sqrt(V.total(F.transform(s, lambda x: (x - m) * (x - m))) / F.nullif(F.size(s), F.lit(0)) + 1e-12)
+    squares = V.let(mean(s), lambda m: V.total(F.transform(s, lambda x: (x - m) * (x - m))))
+    return F.sqrt(squares / F.nullif(F.size(s), F.lit(0)) + 1e-12)
 
 
 def z_normalized(s: Column) -> Column:
-    m, d = mean(s), deviation(s)
-    return F.transform(s, lambda x: (x - m) / d)
+    return V.let(F.struct(mean(s).alias("m"), deviation(s).alias("d")), lambda of: F.transform(s, lambda x: (x - of["m"]) / of["d"]))
 
 
 def stats(s: Column) -> Column:
@@ -60,16 +59,18 @@ def window_means(s: Column, window: int = WINDOW, stride: int = STRIDE) -> Colum
 def frequencies(s: Column) -> Column:
     """Magnitudes of the transform of the first values at fixed frequencies, not normalised."""
     n = F.least(F.size(s), F.lit(LONGEST))
-    head = F.slice(s, F.lit(1), F.greatest(n, F.lit(0)))
 
-    def magnitude(k: Column) -> Column:
-        angle = lambda i: 2 * math.pi * k * i / n
-        re_ = V.total(F.transform(head, lambda v, i: v * F.cos(angle(i))))
-        im = V.total(F.transform(head, lambda v, i: v * F.sin(angle(i))))
-        return F.sqrt(re_ * re_ + im * im)
+    def magnitudes(head: Column) -> Column:
+        def magnitude(k: Column) -> Column:
+            angle = lambda i: 2 * math.pi * k * i / n
+            re_ = V.total(F.transform(head, lambda v, i: v * F.cos(angle(i))))
+            im = V.total(F.transform(head, lambda v, i: v * F.sin(angle(i))))
+            return F.hypot(re_, im)
 
-    wanted = F.array(*[F.lit(k) for k in FREQUENCIES])
-    return F.transform(F.filter(wanted, lambda k: (k < n) & (n >= SHORTEST)), magnitude)
+        wanted = F.array(*[F.lit(k) for k in FREQUENCIES])
+        return F.transform(F.filter(wanted, lambda k: (k < n) & (n >= SHORTEST)), magnitude)
+
+    return V.let(F.slice(s, F.lit(1), F.greatest(n, F.lit(0))), magnitudes)
 
 
 _NUMBER = re.compile(r"\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?")
