@@ -253,8 +253,18 @@ def test_audio_and_image_processors(spark):
 
 
 def test_binary_import(spark, tmp_path):
+    base = tmp_path / "x"
     (tmp_path / "x.vectors").write_bytes(binary.write(np.array([1, 5]), np.array([[1, 2], [3, 4]], np.float32), 6))
-    assert sorted((r.id, r.vector) for r in binary.read(spark, str(tmp_path)).collect()) == [(1, [1, 2]), (5, [3, 4])]
+    (tmp_path / "x.metadata").write_text('{\n  "5": {\n    "a": "b c",\n    "gone": "",\n    "cut": "x"y"\n  },\n  "9": {\n    "k": "v"\n  }\n}\n')
+    assert sorted((r.id, r.vector) for r in binary.read(spark, f"{base}.vectors").collect()) == [(1, [1, 2]), (5, [3, 4])]
+    rows, config = binary.read_collection(spark, str(base))
+    assert config.dimension == 2 and config.index_type is IndexType.AUTO
+    assert {r.id: (r.vector, r.metadata) for r in rows.collect()} == {1: ([1, 2], None), 5: ([3, 4], {"a": "b c", "cut": "x"}), 9: (None, {"k": "v"})}
+    (tmp_path / "x.config").write_text("dimension=2\nindex_type=0\nmetric=2\nM=7\n")
+    _, config = binary.read_collection(spark, str(base))
+    assert config.metric is COSINE and config.index_type is IndexType.FLAT and config.M == 7
+    db = VectorDatabase.from_dataframe(rows, config, metadata=F.col("metadata"))
+    assert db.size() == 2 and db.get_metadata(9) == {"k": "v"} and db.next_id == 10
 
 
 def test_stream(spark, tmp_path):
