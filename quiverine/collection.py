@@ -228,11 +228,11 @@ class VectorDatabase:
     def range_search(self, query: Sequence[float], radius: float, metric_aware: bool = False) -> DataFrame:
         return S.range_search(self.rows, self._vector(query), radius, self._config.metric, metric_aware)
 
-    def filtered_search(self, query: Sequence[float], predicate: Column, params: SearchParams | None = None, mode: str = "compat") -> DataFrame:
+    def filtered_search(self, query: Sequence[float], predicate: Column | Callable[[dict], bool], params: SearchParams | None = None, mode: str = "compat") -> DataFrame:
         p = params or SearchParams()
         return S.filtered(self.rows, self._vector(query), predicate, p.k, self._config.metric, mode, p.radius)
 
-    def batch_filtered_search(self, queries: DataFrame, predicate: Column, params: SearchParams | None = None, mode: str = "compat") -> DataFrame:
+    def batch_filtered_search(self, queries: DataFrame, predicate: Column | Callable[[dict], bool], params: SearchParams | None = None, mode: str = "compat") -> DataFrame:
         return S.filtered_batch(self.rows, queries, predicate, (params or SearchParams()).k, self._config.metric, mode, self._config.dimension)
 
     def search_with_metadata(self, query: Sequence[float], key: str, value: str, params: SearchParams | None = None, mode: str = "compat") -> DataFrame:
@@ -243,6 +243,7 @@ class VectorDatabase:
         return S.hybrid(self.rows, self._vector(query), p.k, text, vector_weight, text_weight, self._config.metric, metric_aware, p.radius)
 
     def search_with_rerank(self, query: Sequence[float], rank: Callable[[Column], Column], params: SearchParams | None = None, rerank_k: int = S.RERANK_K, metric_aware: bool = False) -> DataFrame:
+        """``rank`` makes a column of the metadata's; ``operators.search.ranking`` makes one of a Python function."""
         p = params or SearchParams()
         return S.reranked(self.rows, self._vector(query), rank, p.k, rerank_k, self._config.metric, metric_aware, p.radius)
 

@@ -111,6 +111,10 @@ def bilinear(embeddings: Embeddings, params: FusionParams, lengths: Lengths) ->
     return V.aligned(out, params.target_dimension or OWN_DIMENSION, n)
 
 
+#: Another name of the same pooling.
+compact_bilinear = bilinear
+
+
 def create_strategy(kind: Fusion) -> Strategy:
     """The strategy of a kind; the transformer and custom kinds have none of their own."""
     known: dict[Fusion, Strategy] = {

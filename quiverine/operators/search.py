@@ -24,6 +24,18 @@ BROADCAST_QUERIES = 10_000
 CELLS = 32
 
 
+def condition(predicate: Column | Callable[[dict], bool]) -> Column:
+    """A predicate on ``metadata``; a Python function of a row's map becomes an Arrow function, and is the slow way."""
+    if isinstance(predicate, Column):
+        return predicate
+    return F.udf(lambda m: bool(predicate(dict(m or {}))), "boolean", useArrow=True)(F.col("metadata"))
+
+
+def ranking(query: Sequence[float], rank: Callable) -> Callable[[Column], Column]:
+    """A scoring function for ``reranked`` made of a Python function of (query, a row's map)."""
+    return F.udf(lambda m: float(rank(query, dict(m or {}))), "double", useArrow=True)
+
+
 def best_first(metric: DistanceMetric, score: str = "score") -> list[Column]:
     return [F.desc(score) if metric.higher_is_better else F.asc(score), F.asc("id")]
 
@@ -59,13 +71,13 @@ def range_search(rows: DataFrame, query: Sequence[float], radius: float, metric:
     return knn(rows, query, RANGE_MOST, metric).filter(F.col("score") <= radius)
 
 
-def filtered(rows: DataFrame, query: Sequence[float], predicate: Column, k: int = 10, metric: DistanceMetric = DistanceMetric.L2, mode: str = "compat", radius: float = -1.0) -> DataFrame:
+def filtered(rows: DataFrame, query: Sequence[float], predicate: Column | Callable[[dict], bool], k: int = 10, metric: DistanceMetric = DistanceMetric.L2, mode: str = "compat", radius: float = -1.0) -> DataFrame:
     """The best rows that have metadata and satisfy ``predicate``, a condition on ``metadata``.
 
     ``compat`` filters the best 10k rows (1000 at most), and may find fewer than there
     are; ``exact`` filters before ranking.
     """
-    holds = F.col("metadata").isNotNull() & predicate
+    holds = F.col("metadata").isNotNull() & condition(predicate)
     if mode == "exact":
         return knn(rows.filter(holds), query, k, metric)
     found = candidates(rows, query, min(FILTER_FACTOR * k, FILTER_MOST), metric, radius)
@@ -125,8 +137,8 @@ def knn_batch(rows: DataFrame, queries: DataFrame, k: int = 10, metric: Distance
     return ranked(pairs(rows, queries, metric, dim), k, metric).select("query_id", "rank", "id", "score", "metadata")
 
 
-def filtered_batch(rows: DataFrame, queries: DataFrame, predicate: Column, k: int = 10, metric: DistanceMetric = DistanceMetric.L2, mode: str = "compat", dim: int | None = None) -> DataFrame:
-    holds = F.col("metadata").isNotNull() & predicate
+def filtered_batch(rows: DataFrame, queries: DataFrame, predicate: Column | Callable[[dict], bool], k: int = 10, metric: DistanceMetric = DistanceMetric.L2, mode: str = "compat", dim: int | None = None) -> DataFrame:
+    holds = F.col("metadata").isNotNull() & condition(predicate)
     if mode == "exact":
         return knn_batch(rows.filter(holds), queries, k, metric, dim)
     first = ranked(pairs(rows, queries, metric, dim), min(FILTER_FACTOR * k, FILTER_MOST), metric).drop("rank")

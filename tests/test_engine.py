@@ -66,6 +66,9 @@ def test_filtered_over_fetch(spark):
     hit = F.element_at("metadata", "m") == "1"
     assert found(db.filtered_search([0.0], hit, SearchParams(k=2))) == []
     assert found(db.filtered_search([0.0], hit, SearchParams(k=2), "exact")) == [(25, 25.0)]
+    assert found(db.filtered_search([0.0], lambda m: m["m"] == "1", SearchParams(k=2), "exact")) == [(25, 25.0)]
+    again = db.search_with_rerank([0.0], search.ranking([0.0], lambda q, m: -100 * int(m["m"])), SearchParams(k=1))
+    assert found(again) == [(25, round(0.7 * 25 - 30, 6))]
 
 
 def test_batch_is_a_loop_of_singles_and_cells_agree(spark, monkeypatch):
