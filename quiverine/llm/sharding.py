@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, running, ship, text_of
@@ -51,6 +51,11 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     return at.astype(np.int32)
 
 
+def _known(ident: Column) -> Column:
+    """The id, or for a null one a number that stands for it: pandas would make floats of a part with nulls."""
+    return F.coalesce(ident, F.lit(-(1 << 62)))
+
+
 def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its shard among ``shards``, its slot there and its shard among one more.
 
@@ -64,7 +69,7 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
     @F.pandas_udf("shard int, grown_shard int")
     def place(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for ids in parts:
-            keys = stable_key(ids.fillna(-(1 << 62)).to_numpy(np.int64))
+            keys = stable_key(ids.to_numpy(np.int64))
             yield pd.DataFrame({"shard": jump(keys, shards), "grown_shard": jump(keys, shards + 1)})
 
     rows = docs.select(
@@ -74,7 +79,7 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
     )
     scratch = Scratch(spark, "sharding")
     # Written first, so that the texts are read once: finding the ranges reads its input, too.
-    placed = scratch.table(rows.withColumn("place", place("doc_id")).select("doc_id", "size", "text_crc32", "place.shard", "place.grown_shard"), "placed")
+    placed = scratch.table(rows.withColumn("place", place(_known(F.col("doc_id")))).select("doc_id", "size", "text_crc32", "place.shard", "place.grown_shard"), "placed")
     order = [F.col(c) for c in ("shard", "doc_id", "text_crc32", "size")]
     numbered = running(placed, scratch, "numbered", order, "shard", [])
     scratch.drop("placed")
@@ -87,6 +92,6 @@ def write_shards(docs: DataFrame, path: str, shards: int = 40, id_col: str = "do
 
     @F.pandas_udf("int")
     def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(jump(stable_key(ids.fillna(-(1 << 62)).to_numpy(np.int64)), shards))
+        return pd.Series(jump(stable_key(ids.to_numpy(np.int64)), shards))
 
-    docs.withColumn("shard", place(F.col(id_col).cast("long"))).write.mode("overwrite").partitionBy("shard").parquet(path)
+    docs.withColumn("shard", place(_known(F.col(id_col).cast("long")))).write.mode("overwrite").partitionBy("shard").parquet(path)

@@ -203,6 +203,13 @@ def put(uri: str, name: str, data: bytes) -> None:
     system.move(hidden, f"{path}/{name}")
 
 
+def get(uri: str, name: str) -> bytes:
+    """A file's content."""
+    system, path = open_folder(uri)
+    with system.open_input_stream(f"{path}/{name}") as f:
+        return f.read()
+
+
 class Ids:
     """Ids of texts as the tokenizers library gives them.
 
@@ -316,28 +323,27 @@ def write_shards(docs: DataFrame, folder: str, scratch: Scratch, tokenizer: str
 
 
 def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """One row per document, from the files alone: doc_id, start, n_tokens, ids_crc32.
+    """One row per document, from the files: doc_id, start, n_tokens, ids_crc32.
 
-    ``manifest`` only adds where each shard starts: a row for each shard.
+    ``manifest``, a row for each shard, names the files and tells where each shard
+    starts; a task opens one file at a time, and no file's content is moved.
     """
     over = "ORDER BY part, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     starts = manifest.select("name", F.expr(f"coalesce(sum(tokens) OVER ({over}), 0)").alias("shard_start"))
 
     def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for name, content, first in zip(*(batch.column(i) for i in range(3)), strict=True):
-                del name
-                doc_ids, lengths, matrix = from_bytes(content.as_py())
+            for name, first in zip(batch.column("name").to_pylist(), batch.column("shard_start").to_pylist(), strict=True):
+                doc_ids, lengths, matrix = from_bytes(get(folder, name))
                 ids = matrix.decode().astype("<u4")
                 ends = np.cumsum(lengths)
                 view = memoryview(ids).cast("B")
                 crc = [zlib.crc32(view[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                columns = [pa.array(doc_ids, pa.int64()), pa.array(ends - lengths + first.as_py()), pa.array(lengths), pa.array(crc, pa.int64())]
+                columns = [pa.array(doc_ids, pa.int64()), pa.array(ends - lengths + first), pa.array(lengths), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wm").load(folder)
-    named = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "content").join(F.broadcast(starts), "name")
-    return named.select("name", "content", "shard_start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    dealt = starts.repartition(split_count(spark))
+    return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -345,6 +351,5 @@ def write_and_read(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     spark = docs.sparkSession
     scratch = Scratch(spark, "wavelet")
     folder = scratch.path("shards")
-    put(folder, "_begun", b"")  # so that the folder is there for a table without rows
     manifest = write_shards(docs, folder, scratch, tokenizer, end_id, shard_tokens, id_col, text_col)
     return read_shards(spark, folder, manifest)

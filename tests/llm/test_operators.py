@@ -438,6 +438,9 @@ def test_shards(docs, odd, empty, tmp_path):
             assert sorted(g.slot) == list(range(len(g)))
         assert sorted(zip(rows["size"], rows.text_crc32, strict=True)) == sorted((len(t.encode()) + 16, zlib.crc32(t.encode())) for _, t in texts_of(table))
     assert sharding.assign(empty, 40).count() == 0
+    far = docs.sparkSession.createDataFrame([(2**60 + 1, "a"), (2**60 + 2, "a"), (None, "a")], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.shard for r in sharding.assign(far, 1000).collect()}
+    assert [got[i] for i in (2**60 + 1, 2**60 + 2)] == sharding.jump(sharding.stable_key(np.array([2**60 + 1, 2**60 + 2])), 1000).tolist()
     sharding.write_shards(docs, str(tmp_path / "s"), 4)
     assert docs.sparkSession.read.parquet(str(tmp_path / "s")).count() == docs.count()
 
