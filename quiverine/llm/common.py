@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -110,12 +111,22 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def settle() -> None:
+    """Give freed memory back to the system: workers stay for later tasks beside an executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def batches(rows: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the incoming batches that hold about ``limit`` bytes of ``column`` each."""
     for batch in rows:
         sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         for start, end in slices(sizes, limit):
             yield batch.slice(start, end - start)
+    settle()
 
 
 def split_count(spark: SparkSession) -> int:

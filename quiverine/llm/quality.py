@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, ship, slices, text_of
+from .common import free_name, settle, ship, slices, text_of
 from .shingles import Words
 
 #: Labelled documents that a model is fitted on, at most: those with the smallest hashes of their ids.
@@ -131,6 +131,7 @@ def _counts_column(text: Column) -> Column:
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield pd.Series([row for texts in _encoded(part) for row in statistics(texts)], dtype=object)
+        settle()
 
     return count(text)
 
@@ -168,6 +169,7 @@ def score_column(model: Discriminant, text: Column) -> Column:
         for part in parts:
             scores = [model.score(statistics(texts)) for texts in _encoded(part)]
             yield pd.Series(np.concatenate(scores) if scores else np.zeros(0))
+        settle()
 
     return score(text_of(text))
 

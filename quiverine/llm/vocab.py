@@ -144,7 +144,7 @@ class Chunks:
     None for other texts, which are to be taken whole.
     """
 
-    def __init__(self, whole: Callable[[list[str]], Sequence[Any]], words: Callable[[list[str]], Sequence[Any]], limit: int = 500_000) -> None:
+    def __init__(self, whole: Callable[[list[str]], Sequence[Any]], words: Callable[[list[str]], Sequence[Any]], limit: int = 400_000) -> None:
         """``whole`` works out texts as they are, ``words`` words with a space before each."""
         self.whole, self.words, self.limit = whole, words, limit
         self.first: dict[str, Any] = {}
