@@ -14,6 +14,10 @@ gives no rows; further columns are not read, or are kept as they are (``mixed``)
 
 Only whole documents are taken: those that end before the target in their source's
 order, and then the one document whose size comes nearest to what is still missing.
+That is what the SQL says; where a long document straddles the target, it can leave
+much of it missing. With ``fill``, documents that fit what is missing are taken in
+between, in the same order, those with the fewest copies first, until none fits. A
+source then misses its target by half of its smallest document with copies left at most.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from .common import Scratch, free_name, running, ship, split_count, text_of
 MOST_EPOCHS = 3
 #: Sources that a plan may have; it is made on the driver.
 MOST_SOURCES = 1_000_000
+#: So many documents that may still fit are dealt with on the driver; more of them by running totals.
+FEW_LEFT = 20_000
 
 
 @dataclass(frozen=True)
@@ -82,7 +88,74 @@ def targets(sizes: Sequence[int], weights: Sequence[float], epochs: int = MOST_E
     return out
 
 
-def placed(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (1, 2, 3), schedules: Sequence[Schedule] = CURRICULUM, epochs: int = MOST_EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+@dataclass(frozen=True)
+class Step:
+    """One run of documents that fill up a source: those with ``level`` copies and ``gap`` words at most, up to the one after ``last`` words."""
+
+    level: int
+    gap: float
+    first: int
+    last: int
+    words: int
+
+
+def steps_of(size: np.ndarray, before: np.ndarray, copies: np.ndarray, gap: float, epochs: int) -> list[Step]:
+    """The steps that fill up one source with its documents, given in order."""
+    copies, out = copies.copy(), []
+    while (fits := (size > 0) & (size <= gap) & (copies < epochs)).any():
+        level = int(copies[fits].min())
+        at = np.flatnonzero(fits & (copies == level))
+        at = at[: np.searchsorted(np.cumsum(size[at]), gap, "right")]
+        out.append(Step(level, gap, int(before[at[0]]), int(before[at[-1]]), int(size[at].sum())))
+        copies[at] += 1
+        gap -= out[-1].words
+    return out
+
+
+def filling(counted: DataFrame, scratch: Scratch, gaps: dict[str | None, float], epochs: int) -> dict[str | None, list[Step]]:
+    """The steps that fill up each source; what is missing is taken off ``gaps``.
+
+    The documents that still fit are few or become fewer with each step, as what is
+    missing does.
+    """
+    spark, steps = counted.sparkSession, {source: [] for source in gaps}
+    key = F.col("source").eqNullSafe(F.col("source_"))
+
+    def beside(left: DataFrame, fields: str, rows: list[tuple]) -> DataFrame:
+        return left.join(F.broadcast(spark.createDataFrame(rows, f"source_ string, {fields}")), key)
+
+    def done(source: str | None, step: Step) -> None:
+        steps[source].append(step)
+        gaps[source] -= step.words
+
+    left = beside(counted.select("source", "size", "before_size", "copies"), "gap double", list(gaps.items()))
+    left = left.filter((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & (F.col("copies") < epochs)).drop("source_", "gap")
+    left, number = scratch.table(left, "left-0"), 0
+    while True:
+        found = left.limit(FEW_LEFT + 1).toPandas()
+        if len(found) <= FEW_LEFT:
+            found["source"] = found["source"].astype(object).where(found["source"].notna(), None)
+            for source, own in found.sort_values("before_size").groupby("source", dropna=False):
+                source = None if source != source else source
+                for step in steps_of(own["size"].to_numpy(), own["before_size"].to_numpy(), own["copies"].to_numpy(), gaps[source], epochs):
+                    done(source, step)
+            scratch.drop(f"left-{number}")
+            return steps
+        levels = [(r.source, gaps[r.source], r.level) for r in left.groupBy("source").agg(F.min("copies").alias("level")).collect()]
+        level = beside(left, "gap double, level long", levels).filter("copies = level").select("source", "before_size", "gap", "level", F.col("size").alias("words"))
+        order = running(level, scratch, f"order-{number}", [F.col("source"), F.col("before_size")], "source", ["words"]).filter("before_words + words <= gap")
+        taken = order.groupBy("source").agg(F.first("level").alias("level"), F.min("before_size").alias("first"), F.max("before_size").alias("last"), F.sum("words").alias("words")).collect()
+        last = [(r.source, r.level, r["last"]) for r in taken]
+        for r in taken:
+            done(r.source, Step(r.level, gaps[r.source], r["first"], r["last"], r.words))
+        now = beside(left, "level long, last long, gap double", [(*r, gaps[r[0]]) for r in last])
+        copies = F.col("copies") + ((F.col("copies") == F.col("level")) & (F.col("before_size") <= F.col("last"))).cast("long")
+        now = now.withColumn("copies", copies).filter((F.col("size") <= F.col("gap")) & (F.col("copies") < epochs))
+        left, number = scratch.table(now.select("source", "size", "before_size", "copies"), f"left-{number + 1}"), number + 1
+        scratch.drop(f"left-{number - 1}", f"order-{number - 1}")
+
+
+def placed(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (1, 2, 3), schedules: Sequence[Schedule] = CURRICULUM, epochs: int = MOST_EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", fill: bool = False) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, positions (of its copies, ascending).
 
     Only ids, sources and sizes move. Running totals over range partitions give each
@@ -118,11 +191,32 @@ def placed(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (1, 2,
     kind = dict(sizes.dtypes)["doc_id"]
     fields = f"doc_id {kind}, source string, size long, draw long, before_size long"
     counted = scratch.table(ordered.select("doc_id", "source", "size", "draw", "before_size").mapInArrow(count, f"{fields}, copies long"), "counted")
-    # What is missing of each source, and the document that fills it best: a row for each source.
-    missing = {r.source: plan[r.source][1] - r.taken for r in counted.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()}
-    gaps = spark.createDataFrame(list(missing.items()), "gap_source string, gap double") if missing else spark.createDataFrame([], "gap_source string, gap double")
+    # What is missing of each source, the documents that fill it up, and the one that comes nearest to the rest.
+    gaps = {r.source: plan[r.source][1] - r.taken for r in counted.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()}
+    steps = filling(counted, scratch, gaps, epochs) if fill and gaps else {}
+
+    def fill_up(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            sources = np.array(batch.column("source").to_pylist(), object)
+            size, before, copies = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("size", "before_size", "copies"))
+            shares = [[] for _ in range(len(size))]
+            copies = copies.copy()
+            for s in set(sources.tolist()):
+                own = np.array([x == s for x in sources], bool)
+                for step in steps[s]:
+                    at = np.flatnonzero(own & (size > 0) & (size <= step.gap) & (copies == step.level) & (before <= step.last))
+                    copies[at] += 1
+                    along = (before[at] - step.first) / max(step.last - step.first, 1)
+                    for i, share in zip(at.tolist(), (1 - (step.gap - along * step.words) / plan[s][1]).tolist(), strict=True):
+                        shares[i].append(share)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(copies), pa.array(shares, pa.list_(pa.float64()))], names=[*batch.schema.names, "shares"])
+
+    filled = counted.withColumn("shares", F.lit(None).cast("array<double>"))
+    if steps:
+        filled = scratch.table(counted.mapInArrow(fill_up, f"{fields}, copies long, shares array<double>"), "filled")
+    missing = spark.createDataFrame(list(gaps.items()), "gap_source string, gap double")
     off = F.abs(F.col("size") - F.col("gap"))
-    fitting = counted.join(F.broadcast(gaps), F.col("source").eqNullSafe(F.col("gap_source"))).filter((F.col("copies") < epochs) & (F.col("size") > 0) & (off < F.col("gap")))
+    fitting = filled.join(F.broadcast(missing), F.col("source").eqNullSafe(F.col("gap_source"))).filter((F.col("copies") < epochs) & (F.col("size") > 0) & (off < F.col("gap")))
     best = fitting.groupBy("source").agg(F.min(F.struct(off.alias("off"), "draw", "doc_id", "before_size")).alias("best"))
     extra = {r.source: (r.best.draw, r.best.before_size) for r in best.collect()}
 
@@ -134,7 +228,10 @@ def placed(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (1, 2,
             added = np.array([s in extra and extra[s] == (d, b) for s, d, b in zip(sources, draw.tolist(), before.tolist(), strict=True)], bool) & (size > 0)
             middle = np.stack([before + k * total for k in range(epochs)], 1) + size[:, None] / 2
             share = np.divide(middle, target[:, None], out=np.zeros_like(middle), where=target[:, None] > 0)
-            # The document that fills up a source comes at the end of its target.
+            # Documents that fill up a source come at the end of its target.
+            for i, late in enumerate(batch.column("shares").to_pylist()):
+                if late:
+                    share[i, copies[i] - len(late) : copies[i]] = late
             share[added, copies[added]] = 1 - size[added] / 2 / target[added]
             copies = copies + added
             times = np.zeros_like(share)
@@ -146,9 +243,9 @@ def placed(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (1, 2,
             columns = [batch.column("doc_id"), batch.column("size"), pa.array(total), pa.array(target), pa.array(size * copies), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "source_size", "target", "taken", "positions"])
 
-    out = counted.mapInArrow(place, f"doc_id {kind}, size long, source_size long, target double, taken long, positions array<double>")
+    out = filled.mapInArrow(place, f"doc_id {kind}, size long, source_size long, target double, taken long, positions array<double>")
     table = scratch.table(out, "placed")
-    scratch.drop("sizes", "ordered", "counted")
+    scratch.drop("sizes", "ordered", "counted", *(["filled"] if steps else []))
     return table
 
 

@@ -26,6 +26,11 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_mix_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op4_mix`` keeps to its SQL; this one fills up every source as the pipeline does."""
+    return mixing.mix(documents(spark, sf_dir), fill=True).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     control = "<|im_end|><|im_start|>assistant ok"
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality": op3_quality,
     "op4_mix": op4_mix,
+    "op4_mix_filled": op4_mix_filled,
     "op5_chat_format": op5_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_near_dedup": op7_near_dedup,

@@ -228,6 +228,32 @@ def test_mix(spark, docs, odd, empty):
     assert mixing.mixed(empty).count() == 0
 
 
+@pytest.mark.parametrize("few", [mixing.FEW_LEFT, 0])
+def test_mix_reaches_targets_beside_long_documents(spark, few, monkeypatch):
+    """Every source has one document that is a third of it; some of them straddle their targets."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(mixing, "FEW_LEFT", few)
+    rows = [(1000 * s + i, "w " * (4000 if i == 0 else 5 + i % 40), f"s{s}" if s else None) for s in range(9) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    own = mixing.mix(docs, fill=True).toPandas()
+    assert (own.taken <= 3 * own["size"]).all() and all(len(p) * n == t for p, n, t in zip(own.positions, own["size"], own.taken, strict=True))
+    assert all(0 <= x <= 1 for p in own.positions for x in p)
+    for _, g in own.groupby(own.doc_id // 1000):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 0.001 * g.target.iloc[0]
+    want = {r.doc_id: len(r.positions) for r in own.itertuples() if len(r.positions)}
+    stage = corpus_pipeline.mixed_sources(spark, docs, "")
+    assert {r.doc_id: r.n for r in stage.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == want
+
+
+def test_mix_filled_takes_odd_tables(spark, docs, odd, empty):
+    for table in (docs, odd):
+        own = mixing.mix(table, fill=True).toPandas()
+        assert len(own) == table.count() and (own.taken <= 3 * own["size"]).all()
+        assert mixing.mixed(table, fill=True).count() == own.positions.map(len).sum()
+    assert mixing.mix(empty, fill=True).count() == 0 and mixing.mixed(empty, fill=True).count() == 0
+
+
 # 5: chat
 
 
