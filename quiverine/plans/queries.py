@@ -491,7 +491,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("ivf_knn")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return shown(_strategy(s, d, "ivf_flat", nlist=16).query(first_vector(s, d), SearchParams(k=10, nprobe=8)))
+    return shown(_strategy(s, d, "ivf_flat", nlist=16).query(first_vector(s, d), SearchParams(k=10)))
 
 
 @query("pq_knn")

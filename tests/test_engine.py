@@ -15,6 +15,7 @@ from quiverine.functions import vectors as V
 from quiverine.operators import search
 from quiverine.operators.index import automatic, list_algorithms, registry
 from quiverine.operators.processors import ProcessorRegistry, audio, image, tabular, text, timeseries
+from quiverine.plans import queries
 from quiverine.sources import binary
 from quiverine.streaming import ingest
 
@@ -163,6 +164,41 @@ def test_approximate_recall(spark, name, least):
         assert found(everything) == found(exact.search(x[0], 10))
 
 
+def recall(search_one, asked, x, k=10):
+    """Of the ``k`` nearest of each asked row, against brute force."""
+    hits = 0
+    for i in asked:
+        near = np.lexsort((np.arange(len(x)), ((x - x[i]) ** 2).sum(1)))[:k]
+        hits += len({r.id for r in search_one(x[i].tolist()).collect()} & set(near.tolist()))
+    return hits / (k * len(asked))
+
+
+@pytest.mark.parametrize(("name", "params"), [("ivf_flat", {"nlist": 16}), ("ivf_flat", {}), ("ivf_pq", {"nlist": 16, "m": 16, "nbits": 6}), ("ivf_pq", {}), ("lsh", {})])
+def test_recall_on_embeddings(spark, sf, name, params):
+    rows = queries.collection(spark, sf).cache()
+    found = rows.orderBy("id").toPandas()
+    assert found.id.tolist() == list(range(len(found)))
+    strategy = registry.create(name, L2, params)
+    strategy.fit(rows)
+    asked = [i for i in found.id if i % 20 == 0]
+    assert recall(lambda q: strategy.query(q, SearchParams(k=10)), asked, np.stack(found.vector).astype(float)) >= 0.9
+
+
+@pytest.mark.parametrize("metric", [L2, IP, COSINE])
+def test_default_lists_reach_recall_on_uniform_vectors(spark, metric):
+    x = np.random.default_rng(2).standard_normal((4000, 64)).astype("float32").astype(float)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, vector array<float>").withColumn("metadata", F.lit(None).cast("map<string,string>")).cache()
+    strategy = registry.create("ivf_flat", metric)
+    strategy.fit(rows)
+    asked = rows.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    got = {(r.query_id, r.id) for r in strategy.query_batch(asked, SearchParams(k=10), 64).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = {L2: -((x * x).sum(1)) + 2 * x[::20] @ x.T, IP: x[::20] @ x.T, COSINE: unit[::20] @ unit.T}[metric]
+    want = {(20 * i, int(j)) for i, row in enumerate(np.argsort(-score, 1)[:, :10]) for j in row}
+    assert len(got & want) / len(want) >= 0.9 and strategy.probes(SearchParams(k=10)) < len(strategy.centres)
+    assert strategy.probes(SearchParams(k=10, nprobe=3)) == 3
+
+
 def test_registry():
     assert {"brute_force", "flat", "ivf_flat", "ivf_pq", "hnsw", "lsh"} <= set(list_algorithms())
     assert "lsh" not in registry.supporting(IP) and automatic(10) == "brute_force" and automatic(60_000) == "ivf_flat"
