@@ -125,3 +125,7 @@ ORACLE_SQL |= {
     "database_search": f"{scored()} {SHOWN} FROM ({top('l2', 10)})",
     "rank_within_label": f"{scored()} SELECT lab AS label, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, round(sc, 6) AS score FROM s WINDOW w AS (PARTITION BY lab ORDER BY sc, vec_id) QUALIFY row_number() OVER w <= 3",
 }
+
+# The batches of the whole job: the same SQL, asked by every id divisible by 20.
+for _name in [n for n in ORACLE_SQL if n.startswith("batch_knn_") or n.startswith("batch_filtered_knn_") or n == "ivf_all_lists"]:
+    ORACLE_SQL[f"{_name}_every20"] = ORACLE_SQL[_name].replace("b.vec_id < 10", "b.vec_id % 20 = 0")

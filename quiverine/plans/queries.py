@@ -60,6 +60,15 @@ def ten_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
+def every_twentieth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch of the whole job: the vectors with ids divisible by 20 are its queries; it searches all rows."""
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+#: Batches by the ending of a query's name; the first is what the SQL of the plain names says.
+BATCHES = {"": ten_queries, "_every20": every_twentieth}
+
+
 def shown(found: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
@@ -77,7 +86,8 @@ def components(rows: DataFrame, key: str, v: str) -> DataFrame:
 
 for _name, _metric in (("l2", L2), ("ip", IP), ("cosine", COSINE)):
     QUERIES[f"knn_{_name}"] = lambda s, d, m=_metric: shown(search.knn(collection(s, d), first_vector(s, d), 10, m))
-    QUERIES[f"batch_knn_{_name}"] = lambda s, d, m=_metric: shown_batch(search.knn_batch(collection(s, d), ten_queries(s, d), 10, m, DIM))
+    for _end, _batch in BATCHES.items():
+        QUERIES[f"batch_knn_{_name}{_end}"] = lambda s, d, m=_metric, asked=_batch: shown_batch(search.knn_batch(collection(s, d), asked(s, d), 10, m, DIM))
     QUERIES[f"range_{_name}"] = lambda s, d, m=_metric: shown(search.range_search(collection(s, d), first_vector(s, d), {L2: 1.3, IP: 0.05, COSINE: 0.9}[m], m))
 
 
@@ -107,9 +117,10 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 
 for _mode in ("compat", "exact"):
-    QUERIES[f"batch_filtered_knn_{_mode}"] = lambda s, d, mode=_mode: shown_batch(
-        search.filtered_batch(collection(s, d), ten_queries(s, d), F.element_at("metadata", "parity") == "even", 5, L2, mode, DIM)
-    )
+    for _end, _batch in BATCHES.items():
+        QUERIES[f"batch_filtered_knn_{_mode}{_end}"] = lambda s, d, mode=_mode, asked=_batch: shown_batch(
+            search.filtered_batch(collection(s, d), asked(s, d), F.element_at("metadata", "parity") == "even", 5, L2, mode, DIM)
+        )
 
 
 @query("hybrid_text")
@@ -483,10 +494,13 @@ def _strategy(s: SparkSession, d: str, name: str, **params: object):  # noqa: AN
     return strategy
 
 
-@query("ivf_all_lists")
-def _(s: SparkSession, d: str) -> DataFrame:
+def _all_lists(s: SparkSession, d: str, asked: Query) -> DataFrame:
     strategy = _strategy(s, d, "ivf_flat", nlist=16)
-    return shown_batch(strategy.query_batch(ten_queries(s, d), SearchParams(k=10, nprobe=16), DIM))
+    return shown_batch(strategy.query_batch(asked(s, d), SearchParams(k=10, nprobe=16), DIM))
+
+
+for _end, _batch in BATCHES.items():
+    QUERIES[f"ivf_all_lists{_end}"] = lambda s, d, asked=_batch: _all_lists(s, d, asked)
 
 
 @query("ivf_knn")

@@ -2,6 +2,7 @@
 
 import pytest
 
+from quiverine.operators import search
 from quiverine.plans.oracle import ORACLE_SQL
 from quiverine.plans.queries import QUERIES
 
@@ -18,5 +19,14 @@ def test_query_has_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+@pytest.mark.parametrize("name", ["batch_knn_l2", "batch_filtered_knn_compat", "ivf_all_lists"])
+def test_batch_asks_for_every_twentieth_id(spark, sf, name, monkeypatch):
+    """Also where the batch is too large to be broadcast."""
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", 5)
+    want = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 20 = 0").select("vec_id").collect()}
+    assert len(want) > 10 and {r.query_id for r in QUERIES[f"{name}_every20"](spark, sf).select("query_id").distinct().collect()} == want
+    assert agree(spark, sf, QUERIES[f"{name}_every20"], ORACLE_SQL[f"{name}_every20"]) > 0
+
+
 def test_every_sql_has_a_query():
     assert set(ORACLE_SQL) <= set(QUERIES)
