@@ -199,6 +199,21 @@ def test_default_lists_reach_recall_on_uniform_vectors(spark, metric):
     assert strategy.probes(SearchParams(k=10, nprobe=3)) == 3
 
 
+@pytest.mark.parametrize(("name", "params"), [("ivf_pq", {"nlist": 4, "nprobe": 2, "m": 2, "nbits": 2, "refine": 1}), ("lsh", {"tables": 2, "bits": 8, "width": 3.0})])
+@pytest.mark.parametrize("metric", [L2, COSINE])
+def test_batches_use_the_method(spark, name, params, metric):
+    """A batch finds what its queries find one by one, with settings so coarse that exact search finds others."""
+    x = np.random.default_rng(3).standard_normal((200, 8)).astype("float32").astype(float) * (3 if metric is L2 else 1)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, vector array<float>").withColumn("metadata", F.lit(None).cast("map<string,string>")).cache()
+    strategy, exact = registry.create(name, metric, params), registry.create("flat", metric)
+    strategy.fit(rows)
+    exact.fit(rows)
+    asked = rows.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    by_query = lambda s: sorted((r.query_id, r.id) for r in s.query_batch(asked, SearchParams(k=10), 8).collect())
+    single = sorted((i, row[0]) for i in range(0, 200, 50) for row in found(strategy.query(x[i].tolist(), SearchParams(k=10))))
+    assert by_query(strategy) == single != by_query(exact)
+
+
 def test_registry():
     assert {"brute_force", "flat", "ivf_flat", "ivf_pq", "hnsw", "lsh"} <= set(list_algorithms())
     assert "lsh" not in registry.supporting(IP) and automatic(10) == "brute_force" and automatic(60_000) == "ivf_flat"
