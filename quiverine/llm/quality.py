@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, settle, ship, slices, text_of
-from .shingles import Words
+from .shingles import AT_ONCE, Words
 
 #: Labelled documents that a model is fitted on, at most: those with the smallest hashes of their ids.
 FIT_ROWS = 20_000
@@ -33,11 +33,12 @@ FIT_ROWS = 20_000
 THRESHOLD = 0.7
 
 _KINDS = ("upper", "digit", "symbol", "shout", "bar", "line", "point", "letter", "beyond")
-_KIND = np.zeros(256, np.int64)
+#: For each byte, a 1 at its kind.
+_KIND = np.zeros((256, len(_KINDS)), np.int64)
 for _i, _chars in enumerate(
-    (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#$%&*@^~_=+<>\\{}[]`", b"!", b"|", b"\n", b".,;:?'\"()-/", b"abcdefghijklmnopqrstuvwxyz", bytes(range(128, 256))), 1
+    (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#$%&*@^~_=+<>\\{}[]`", b"!", b"|", b"\n", b".,;:?'\"()-/", b"abcdefghijklmnopqrstuvwxyz", bytes(range(128, 256)))
 ):
-    _KIND[list(_chars)] = _i
+    _KIND[list(_chars), _i] = 1
 
 
 def statistics(texts: list[bytes]) -> np.ndarray:
@@ -45,8 +46,10 @@ def statistics(texts: list[bytes]) -> np.ndarray:
     n = len(texts)
     words = Words(texts)
     per_doc = words.per_doc()
-    of = np.repeat(np.arange(n), words.lengths + 1)
-    kinds = np.bincount(of * (len(_KINDS) + 1) + _KIND[words.data], minlength=n * (len(_KINDS) + 1)).reshape(n, -1)[:, 1:]
+    spelled = np.zeros((n, 256), np.int64)
+    for i, (start, size) in enumerate(zip(words.begin.tolist(), words.lengths.tolist(), strict=True)):
+        for at in range(start, start + size, AT_ONCE):
+            spelled[i] += np.bincount(words.data[at : min(at + AT_ONCE, start + size)], minlength=256)
     again = (words.hash[1:] == words.hash[:-1]) & (words.doc[1:] == words.doc[:-1])
     order = np.lexsort((words.hash, words.doc))
     h, d = words.hash[order], words.doc[order]
@@ -58,7 +61,7 @@ def statistics(texts: list[bytes]) -> np.ndarray:
             np.bincount(d[first], minlength=n),
             np.bincount(words.doc[1:][again], minlength=n),
             np.bincount(words.doc, weights=words.size, minlength=n),
-            kinds,
+            spelled @ _KIND,
         ]
     ).astype(np.float64)
 

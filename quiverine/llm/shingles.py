@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 #: White space that parts words: space and the bytes 9 to 13.
@@ -10,7 +12,13 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: A to Z in lower case, other bytes as they are.
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Words of more bytes are hashed one by one.
+SHORT = 64
+#: The lowest bytes of a block of 8, by how many of them a word has.
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes that are looked at, and words that are hashed, at once: what a long text needs besides its words is bounded.
+AT_ONCE = 1 << 22
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -20,31 +28,62 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; ``data`` must go on for eight bytes after its last word."""
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+
+
+def block(view: np.ndarray, start: np.ndarray, size: np.ndarray, j: int) -> np.ndarray:
+    """The ``j``-th eight bytes of words, zeros after their ends."""
+    return view[start + 8 * j] & _KEPT[np.minimum(size - 8 * j, 8)]
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
+    """A hash of each word's bytes and size: each block of 8 bytes is mixed into what came before it.
+
+    Mixing isn't linear in the bytes, so no pattern of letters makes words collide, as it does with polynomials.
+    """
+    view = eights(data)
+    out = mixed(size.astype(np.uint64) * _ODD + np.asarray(salt, np.uint64))
+    out = mixed((out ^ block(view, start, size, 0)) + _ODD)
+    more = np.flatnonzero((size > 8) & (size <= SHORT))
+    j = 1
+    while len(more):
+        out[more] = mixed((out[more] ^ block(view, start[more], size[more], j)) * _ODD + np.uint64(j))
+        j += 1
+        more = more[size[more] > 8 * j]
+    for i in np.flatnonzero(size > SHORT).tolist():
+        whole = data[start[i] : start[i] + size[i]]
+        out[i] ^= np.uint64(int.from_bytes(blake2b(whole.tobytes(), digest_size=8).digest(), "little"))
+    return out
+
+
 class Words:
     """The words of a list of texts: ``doc`` (index of the text), ``hash``, ``start`` and ``size`` (in bytes)."""
 
     def __init__(self, texts: list[bytes]) -> None:
         self.count = len(texts)
-        self.data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        self.data = np.frombuffer(b" ".join([*texts, bytes(8)]) if texts else b" " + bytes(8), np.uint8)
         self.lengths = np.array([len(t) for t in texts], np.int64)
         self.begin = np.cumsum(self.lengths + 1) - self.lengths - 1
-        space = _SPACE[self.data]
-        inside = ~space
-        edge = np.flatnonzero(inside[1:] & space[:-1]) + 1
-        self.start = np.concatenate([[0], edge]) if inside.any() and inside[0] else edge
+        end = len(self.data) - 8
+        starts, ends, before = [], [], True
+        for at in range(0, end, AT_ONCE):
+            space = _SPACE[self.data[at : min(at + AT_ONCE, end)]]
+            was = np.concatenate([[before], space[:-1]])
+            starts.append(np.flatnonzero(was & ~space) + at)
+            ends.append(np.flatnonzero(space & ~was) + at)
+            before = bool(space[-1])
+        self.start = np.concatenate(starts)
         if not len(self.start):
             self.doc = self.size = np.zeros(0, np.int64)
             self.hash = np.zeros(0, np.uint64)
             return
-        ends = np.flatnonzero(space[1:] & inside[:-1]) + 1
-        self.size = ends - self.start
+        # Every text has a space after it, so every word ends.
+        self.size = np.concatenate(ends) - self.start
         self.doc = np.searchsorted(self.begin, self.start, "right") - 1
-        letters = np.flatnonzero(inside)
-        first = np.cumsum(self.size) - self.size
-        offset = np.arange(len(letters)) - np.repeat(first, self.size)
-        powers = np.cumprod(np.full(int(self.size.max()) + 1, _BASE))
-        value = (_LOWER[self.data[letters]].astype(np.uint64) + np.uint64(1)) * powers[offset]
-        self.hash = mixed(np.add.reduceat(value, first) + self.size.astype(np.uint64))
+        low = _LOWER[self.data]
+        self.hash = np.concatenate([word_hashes(low, self.start[i : i + AT_ONCE], self.size[i : i + AT_ONCE]) for i in range(0, len(self.start), AT_ONCE)])
 
     def per_doc(self) -> np.ndarray:
         return np.bincount(self.doc, minlength=self.count)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quiverine.llm import ann, bpe, chat, common, exact_dedup, mixing, near_dedup, quality, sharding, shingles, token_count, vocab, wavelet
+from quiverine.llm import ann, bpe, chat, common, exact_dedup, mixing, near_dedup, quality, sharding, shingles, token_count, vocab, wavelet, words
 from quiverine.llm.queries import QUERIES
 from quiverine.llm.sql import ORACLE_SQL
 
@@ -81,6 +81,43 @@ def test_pieces_and_ids_equal_the_library(library):
     assert [np.frombuffer(x, "<u2").tolist() for x in wavelet.ids_of(path).encode(texts)] == expected
 
 
+def thue_morse(n):
+    """Two words of ``a`` and ``b`` that polynomials of their bytes modulo a power of two can't tell apart."""
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [8, 64, 1024, 4096])
+def test_words_that_collide_under_polynomials(library, n):
+    t, u = thue_morse(n)
+    texts = [f"x {t}", f"x {u}", t, u, f"{u} {t} {u}"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in wavelet.ids_of(vocab.default_path()).encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_words_with_one_hash_are_told_apart_by_bytes(library, monkeypatch):
+    """With hashes of four values nearly all words collide; the table is also begun anew in between."""
+    monkeypatch.setattr(words, "word_hashes", lambda data, start, size, salt: (size % 4).astype(np.uint64))
+    monkeypatch.setattr(words, "MOST_WORDS", 3)
+    monkeypatch.setattr(words, "AT_ONCE", 50)
+    own = wavelet.Ids(vocab.default_path())
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u2").tolist() for x in own.encode(TEXTS)] == [e.ids for e in library.encode_batch(TEXTS, add_special_tokens=False)]
+
+
+def test_one_text_of_many_words(library, monkeypatch):
+    """Slices of a text give what the whole gives; a text without spaces is one word."""
+    rng = np.random.default_rng(3)
+    text = " ".join("".join(rng.choice(list("abcdeé\n"), rng.integers(1, 20))) for _ in range(3000))
+    plain = [shingles.Words([text.encode()]).hash.tolist(), quality.statistics([text.encode()]).tolist()]
+    for module in (shingles, words, quality):
+        monkeypatch.setattr(module, "AT_ONCE", 100)
+    assert [shingles.Words([text.encode()]).hash.tolist(), quality.statistics([text.encode()]).tolist()] == plain
+    own, solid = wavelet.Ids(vocab.default_path()), "ab" * 30_000
+    assert [np.frombuffer(x, "<u2").tolist() for x in own.encode([text, solid])] == [e.ids for e in library.encode_batch([text, solid], add_special_tokens=False)]
+
+
 def test_pairs_fit_as_merging_leaves_them(library):
     """The pair table against merging itself, over random pairs of tokens."""
     own = bpe.codec(vocab.default_path())
@@ -401,6 +438,14 @@ def test_shingles_equal_plain_ones():
         assert sizes.tolist() == [len(brute.shingles(t, width)) for t in texts]
 
 
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_near_texts_of_words_that_collide_under_polynomials(spark, n):
+    t, u = thue_morse(n)
+    rows = [(i, " ".join(f"{w} {x}" for x in "pqrs") + f" {w}") for i, w in enumerate((t, u))]
+    got = near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string"), near_dedup.Near(3, 85)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(0, 0), (1, 1)}
+
+
 # 8: nearest neighbours
 
 
