@@ -10,6 +10,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,12 +38,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[key]}"
 
 
+def file_system(spark: SparkSession, uri: str) -> tuple[Any, Any]:
+    """Hadoop's file system of a path, as Spark itself uses it, and the path there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 class Scratch:
-    """Tables written once in the shared folder: they cut lineage and outlive executors."""
+    """Tables written once in the shared folder: they cut lineage and outlive executors.
+
+    A result that is still to be read may need them, so they go when the application
+    ends, or earlier by ``drop``; a driver that is killed leaves them behind.
+    """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        files, path = file_system(spark, self.base)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -54,10 +68,14 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Remove tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            files, path = file_system(self.spark, self.path(name))
+            files.delete(path, True)
+
+    def remove(self) -> None:
+        """Remove all tables."""
+        files, path = file_system(self.spark, self.base)
+        files.delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
@@ -129,11 +147,54 @@ def batches(rows: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -
     settle()
 
 
+#: Groups of at least 1 in so many rows are hot; where there are more partitions than this, of 1 in as many.
+HOT_SHARE = 1000
+
+
+def hot_share(spark: SparkSession) -> int:
+    """Groups of at least 1 in so many rows are looked up in a broadcast table, which has no more rows than this.
+
+    Any other group is no larger than a partition is on average.
+    """
+    return max(HOT_SHARE, split_count(spark))
+
+
 def split_count(spark: SparkSession) -> int:
     """How many parts a table is dealt to: the session's number of shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
+#: Numbers of 64 bits that a filter has at most.
+FILTER_WORDS = 1 << 19
+
+
+def bits_of(values: Column, rows: DataFrame) -> DataFrame:
+    """A set of values as bits by hash: (word_, bits_), FILTER_WORDS rows at most whatever the set's size."""
+    places = rows.select(F.pmod(F.xxhash64(values), F.lit(FILTER_WORDS * 64)).alias("place_"))
+    return places.groupBy(F.shiftright("place_", 6).alias("word_")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place_ & 63 AS INT))")).alias("bits_"))
+
+
+def sifted(df: DataFrame, value: Column, bits: DataFrame, inside: bool) -> DataFrame:
+    """The rows whose value may be in a set (``inside``), or those whose value surely isn't; no row moves.
+
+    Of the rows that aren't in the set, the more pass for those that may be the fuller the bits are; none that is in it is lost.
+    """
+    place, columns = free_name(df, "place_"), df.columns
+    marked = df.withColumn(place, F.pmod(F.xxhash64(value), F.lit(FILTER_WORDS * 64)))
+    side = F.broadcast(bits.select(F.col("word_").alias(free_name(marked, "word_")), F.col("bits_").alias(free_name(marked, "bits_"))))
+    both = marked.join(side, F.shiftright(marked[place], 6) == side[side.columns[0]], "inner" if inside else "left")
+    hit = F.coalesce(F.expr(f"shiftright(`{side.columns[1]}`, cast(`{place}` & 63 AS INT)) & 1"), F.lit(0)) == 1
+    return both.filter(hit if inside else ~hit).select(*[marked[c] for c in columns])
+
+
+def without_ids(docs: DataFrame, ident: Column, lost: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows whose id isn't in ``lost``, a table of one column, of any size; only rows that may be in it move."""
+    bits = scratch.table(bits_of(F.col(lost.columns[0]), lost), "lost-bits")
+    doubtful = sifted(docs, ident, bits, True)
+    # The lost ids grow with the input: never a broadcast.
+    return sifted(docs, ident, bits, False).unionByName(doubtful.join(lost.hint("merge"), ident == lost[lost.columns[0]], "left_anti"))
+
+
 def running(df: DataFrame, scratch: Scratch, name: str, order: list[Column], group: str | None, sums: Iterable[str]) -> DataFrame:
     """Running totals over a total order, without one task that sees a whole group.
 

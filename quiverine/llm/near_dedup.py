@@ -13,11 +13,19 @@ candidate is confirmed on the full sets, and components are formed. A bucket wit
 component is done. Of another one, all classes outside of the hub's component stay, and
 of those inside the ones that the distances to the hub leave room for: Jaccard distance
 is a metric, so two classes whose distances to a hub differ by more than the limit can't
-be linked. What is left, a few classes as a rule, is compared by signatures; pairs of
-different components that may reach the threshold are confirmed as well. A rest that is
-too large for a task gets further stars, around classes outside of its largest
-component, until it is small or of one component. So no link between components is
-lost, and candidates stay near the number of rows.
+be linked. What is left, a few classes as a rule, is compared by sketches, which are
+signatures of more bins; pairs of different components that may reach the threshold are
+confirmed as well. Where much is left, as of texts that share a passage but not enough
+for a link, the classes are dealt anew by bands of their sketches, which need far more in
+common than a band of the signature; what shares such a band is compared by sketches. So
+there are two passes at any size. A comparison of many classes is dealt out in cells of
+bounded size, so that none is left out and no task holds a bucket.
+
+What can be lost: a pair at the threshold shares no band with a chance under 1e-6, no
+band of the sketches with a chance under 1e-6, and lies five standard deviations below
+the threshold in its sketches with a chance under 1e-6 (the deviation takes the sets'
+sizes into account); more similar pairs are lost less often. Words and shingles are
+64-bit hashes.
 
 Components come from alternating large-star and small-star steps on tables; nothing is
 gathered on the driver but counts.
@@ -31,33 +39,29 @@ are kept as they are (``keep_first``).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import Scratch, batches, free_name, ship, text_of
+from .common import Scratch, batches, bits_of, free_name, hot_share, ship, sifted, text_of, without_ids
 from .shingles import mixed, shingle_sets
 
 #: Bands of a signature.
 BANDS = 32
 #: The chance of missing a pair at the threshold is this at most.
 MISS = 1e-6
-#: A bucket's rest is compared by signatures in one task if it has so many classes at most,
-#: and if they make so many pairs at most with those outside of its largest component.
-REST, REST_PAIRS = 16_384, 1 << 21
-#: Hubs of a further star in a bucket.
-HUBS = 32
-#: Bins of the sketches that a rest is compared by, each of 8 bits.
+#: What is left of a bucket is compared by sketches at once if it makes so many pairs of different components at most.
+REST_PAIRS = 1 << 21
+#: Classes that meet as many others in one cell of a comparison.
+CELL = 2048
+#: Bins of the sketches, each of 8 bits.
 SKETCH = 1024
 #: A hub's edges are dealt out in groups of about so many, each with its own copy of the hub's set.
 EDGES_AT_ONCE = 512
-#: Classes of at least 1 in so many rows are looked up in a broadcast table; there are no more of them than this.
-HOT_SHARE = 1000
 
 
 @dataclass(frozen=True)
@@ -70,8 +74,16 @@ class Near:
     @property
     def rows(self) -> int:
         """Bins in a band: as many as the chance of a miss allows."""
+        return self._band(lambda r: BANDS, 16)
+
+    @property
+    def sketch_rows(self) -> int:
+        """Bins in a band of a sketch, likewise."""
+        return self._band(lambda r: SKETCH // r, 64)
+
+    def _band(self, bands: Callable[[int], int], most: int) -> int:
         t, r = self.percent / 100, 1
-        while r < 16 and (1 - t ** (r + 1)) ** BANDS <= MISS:
+        while r < most and (1 - t ** (r + 1)) ** bands(r + 1) <= MISS:
             r += 1
         return r
 
@@ -152,8 +164,8 @@ def signed(docs: DataFrame, near: Near) -> DataFrame:
 def full_sets(docs: DataFrame, near: Near) -> DataFrame:
     """The documents' sets of shingles, and marks to compare them by: doc_id, shingles, marks.
 
-    Marks are 32 bits of each band's hash, then a sketch: a signature of more bins,
-    with 8 bits of each.
+    Marks are the set's size and 32 bits of each band's hash, then a sketch: a signature
+    of more bins, with 8 bits of each.
     """
 
     def sets_of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +177,8 @@ def full_sets(docs: DataFrame, near: Near) -> DataFrame:
             if len(full):
                 own = bands(signatures(sets, sizes[full], near.bins), near.rows).astype("<u4").view(np.uint8)
                 sketch = mixed(signatures(sets, sizes[full], SKETCH)).astype(np.uint8)
-                for i, mark in zip(full.tolist(), np.concatenate([own, sketch], 1), strict=True):
+                size = sizes[full].astype("<u4").view(np.uint8).reshape(-1, 4)
+                for i, mark in zip(full.tolist(), np.concatenate([size, own, sketch], 1), strict=True):
                     marks[i] = mark.tobytes()
             columns = [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(sets.view(np.int64))), pa.array(marks, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shingles", "marks"])
@@ -173,16 +186,23 @@ def full_sets(docs: DataFrame, near: Near) -> DataFrame:
     return docs.mapInArrow(sets_of, "doc_id long, shingles array<long>, marks binary")
 
 
-def _likely(rest: DataFrame, near: Near) -> DataFrame:
-    """Of rows (bucket, band, member, component, marks) that come bucket by bucket, the pairs (hub, member) that may be linked.
+def least_shared(near: Near, size: np.ndarray) -> np.ndarray:
+    """How many bins of two sketches are equal at least where sets, the smaller of ``size`` shingles, are at the threshold.
 
-    Only pairs of different components count, each in the first band that they share:
-    there it is met, or was ruled out by its distances to a hub. The share of equal bins of
-    the sketches estimates the similarity; a pair falls out where it lies five standard
-    deviations below the threshold.
+    Five standard deviations below what is expected. Of a small set few bins are full and the others borrow
+    from them, so that their share varies more.
     """
     t = near.percent / 100
-    needed = int(SKETCH * (t - 5 * np.sqrt(t * (1 - t) / SKETCH)))
+    full = SKETCH * -np.expm1(-size / SKETCH)
+    return np.maximum(SKETCH * (t - 5 * np.sqrt(t * (1 - t) * (1 / np.maximum(full, 1) + 3 / SKETCH))), 0)
+
+
+def _likely(cells: DataFrame, near: Near) -> DataFrame:
+    """Of rows (cell, side, band, member, component, marks) that come cell by cell, the pairs (hub, member) that may be linked.
+
+    Pairs of one component don't count, nor of one side where it is 0 or more. Of a bucket, a pair counts in
+    the first band that it shares: there it is met, or was ruled out by its distances to a hub.
+    """
 
     def pairs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -190,29 +210,36 @@ def _likely(rest: DataFrame, near: Near) -> DataFrame:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            if batch.column("bucket")[-1] != held[0].column("bucket")[0]:
-                # The last bucket may go on in the next batch.
+            if batch.column("cell")[-1] != held[0].column("cell")[0]:
+                # The last cell may go on in the next batch.
                 whole = pa.Table.from_batches(held).combine_chunks()
-                last = int(np.flatnonzero(np.diff(whole["bucket"].to_numpy()))[-1]) + 1
-                yield _pairs_of(whole.slice(0, last), needed)
+                last = int(np.flatnonzero(np.diff(whole["cell"].to_numpy()))[-1]) + 1
+                yield _pairs_of(whole.slice(0, last), near)
                 held = whole.slice(last).to_batches()
         if held:
-            yield _pairs_of(pa.Table.from_batches(held).combine_chunks(), needed)
+            yield _pairs_of(pa.Table.from_batches(held).combine_chunks(), near)
 
-    return rest.mapInArrow(pairs, "hub long, member long")
+    return cells.select("cell", "side", "band", "member", "component", "marks").mapInArrow(pairs, "hub long, member long")
 
 
-def _pairs_of(rows: pa.Table, needed: int) -> pa.RecordBatch:
-    bucket, band, member, component = (rows[c].to_numpy() for c in ("bucket", "band", "member", "component"))
+def _pairs_of(rows: pa.Table, near: Near) -> pa.RecordBatch:
+    cell, side, band, member, component = (rows[c].to_numpy() for c in ("cell", "side", "band", "member", "component"))
     marks = np.frombuffer(b"".join(rows["marks"].to_pylist()), np.uint8).reshape(len(rows), -1)
-    own, sketch = np.ascontiguousarray(marks[:, : 4 * BANDS]).view("<u4"), marks[:, 4 * BANDS :]
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(rows)]]).tolist()
+    size = np.ascontiguousarray(marks[:, :4]).view("<u4")[:, 0].astype(np.int64)
+    own, sketch = np.ascontiguousarray(marks[:, 4 : 4 + 4 * BANDS]).view("<u4"), np.ascontiguousarray(marks[:, 4 + 4 * BANDS :])
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(rows)]]).tolist()
     low: list[np.ndarray] = [np.zeros(0, np.int64)]
     high: list[np.ndarray] = [np.zeros(0, np.int64)]
     for start, end in zip(edges, edges[1:], strict=False):
         for i in range(start, end - 1):
-            others = np.flatnonzero(component[i + 1 : end] != component[i]) + i + 1
-            others = others[(sketch[others] == sketch[i]).sum(1) >= needed]
+            others = np.arange(i + 1, end)
+            smaller = np.minimum(size[others], size[i])
+            # No set is linked with one that is so much larger.
+            fit = (component[others] != component[i]) & (smaller * 100 >= np.maximum(size[others], size[i]) * near.percent)
+            if side[i] >= 0:
+                fit &= side[others] != side[i]
+            others, smaller = others[fit], smaller[fit]
+            others = others[(sketch[others] == sketch[i]).sum(1) >= least_shared(near, smaller)]
             earlier = (own[others, : band[i]] == own[i, : band[i]]).any(1)
             others = member[others[~earlier]]
             low.append(np.minimum(others, member[i]))
@@ -220,6 +247,38 @@ def _pairs_of(rows: pa.Table, needed: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(low)), pa.array(np.concatenate(high))], names=["hub", "member"])
 
 
+def _cells(rows: DataFrame, sizes: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows (bucket, band, member, component) with ``sizes`` (bucket, all), dealt to cells of bounded size in which all pairs of a bucket meet."""
+    sides = F.ceil(F.col("all") / CELL).cast("int")
+    dealt = rows.join(sizes.select("bucket", sides.alias("sides")), "bucket").withColumn("own", F.pmod(F.xxhash64("member"), F.col("sides")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
+    placed = met.select(cell.alias("cell"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), "band", "member", "component")
+    return placed.join(marks, "member").repartition("cell").sortWithinPartitions("cell", "member")
+
+
+def _by_sketch(rows: DataFrame, near: Near) -> DataFrame:
+    """Rows (member, component, marks) by the bands of their sketches: bucket, band (0), member, component."""
+    width = near.sketch_rows
+    bands_ = SKETCH // width
+
+    def deal(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            marks = np.frombuffer(b"".join(batch.column("marks").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            sketch = marks[:, 4 + 4 * BANDS :][:, : bands_ * width].astype(np.uint64)
+            repeat = np.repeat(np.arange(batch.num_rows), bands_)
+            columns = [pa.array(bands(sketch, width).ravel()), pa.array(np.zeros(len(repeat), np.int32)), *(batch.column(c).take(pa.array(repeat)) for c in ("member", "component"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "band", "member", "component"])
+
+    return rows.select("member", "component", "marks").mapInArrow(deal, "bucket long, band int, member long, component long")
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """The buckets of more than one component: bucket, all, most (classes of the largest component)."""
+    by_component = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    return by_component.groupBy("bucket").agg(F.sum("n").alias("all"), F.max("n").alias("most")).filter(F.col("all") > F.col("most"))
+
+
 def _confirmed(edges: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     """The edges (hub, member) with ``linked`` and ``distance``, from the full sets.
 
@@ -242,64 +301,54 @@ def _confirmed(edges: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     return scored.groupBy("hub", "member").agg(F.max("linked").alias("linked"), F.min("distance").alias("distance"))
 
 
-def links(classes: DataFrame, docs: DataFrame, near: Near, scratch: Scratch) -> DataFrame:
-    """Confirmed edges (hub, member) that connect what any two classes of a bucket connect."""
+def links(classes: DataFrame, docs: DataFrame, near: Near, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Components of the stars' confirmed edges (node, component), and confirmed edges (hub, member) between these.
+
+    Together they connect what any two classes of a bucket connect.
+
+    What a bucket has to say to its classes (its size, its hub) is written first, so that the join can be
+    dealt anew where one bucket has a large share of all classes.
+    """
     spark = docs.sparkSession
-    rows = scratch.table(classes.filter("bands is not null").select(F.posexplode("bands").alias("band", "bucket"), F.col("rep").alias("member")), "buckets")
+    rows = classes.filter("bands is not null").select(F.posexplode("bands").alias("band", "bucket"), F.col("rep").alias("member"))
     shared = rows.groupBy("bucket").agg(F.min("member").alias("first"), F.max("member").alias("last"), F.count(F.lit(1)).alias("size")).filter("first < last")
-    state = scratch.table(rows.join(shared.select("bucket", "size"), "bucket").distinct(), "state-0")
-    scratch.drop("buckets")
+    state = scratch.table(rows.join(scratch.table(shared.select("bucket", "size"), "shared"), "bucket"), "state")
     central = scratch.table(state.groupBy("member").agg(F.sum("size").alias("weight")), "central")
-    state = scratch.table(state.drop("size").join(central, "member").select("bucket", "band", "member", "weight"), "weighted")
-    sets = scratch.table(full_sets(docs.join(central.select(F.col("member").alias("doc_id")), "doc_id", "left_semi"), near), "sets")
+    state = state.drop("size").join(central, "member").select("bucket", "band", "member", "weight")
+    ids = central.select(F.col("member").alias("doc_id"))
+    asked = sifted(docs, F.col("doc_id"), scratch.table(bits_of(F.col("doc_id"), ids), "central-bits"), True).join(ids.hint("merge"), "doc_id", "left_semi")
+    sets = scratch.table(full_sets(asked, near), "sets")
     marks = sets.select(F.col("doc_id").alias("member"), "marks")
-    found: list[str] = []
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
-        checked = scratch.table(_confirmed(pairs.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member")).distinct(), sets, near), name)
-        found.append(scratch.path(name))
-        return checked
-
-    def edges() -> DataFrame:
-        return spark.read.schema("hub long, member long, linked boolean, distance double").parquet(*found).filter("linked").select("hub", "member").distinct()
-
-    slack, turn = 1 - near.percent / 100 + 1e-9, 0
-    while True:
-        turn += 1
-        # The first star has one hub in each bucket; later ones, for large rests, several.
-        if turn == 1:
-            hubs = state.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("member")).alias("id"))).alias("top")).select("bucket", (-F.col("top.id")).alias("hub"))
-        else:
-            order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "member")
-            hubs = state.filter("component <> major").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= HUBS).select("bucket", F.col("member").alias("hub"))
-            state = state.select("bucket", "band", "member", "weight")
-        met = scratch.table(state.join(hubs, "bucket").filter("member <> hub"), f"met-{turn}")
-        checked = confirm(met, f"checked-{turn}")
-        label = connected(edges(), Scratch(spark, "near-dedup-star"))
-        labelled = lambda d, c, to: d.join(label.select(F.col("node").alias(c), F.col("component").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
-        named = met.select("bucket", "band", "member", "weight", "hub", F.least("hub", "member").alias("low"), F.greatest("hub", "member").alias("high"))
-        known = named.join(checked.select(F.col("hub").alias("low"), F.col("member").alias("high"), "distance"), ["low", "high"])
-        known = labelled(labelled(known, "member", "component"), "hub", "hub_component").withColumn("open", F.col("component") != F.col("hub_component"))
-        # Of several hubs one measures the distances.
-        after = known.groupBy("bucket", "member").agg(F.first("band").alias("band"), F.first("weight").alias("weight"), F.first("component").alias("component"), F.min(F.struct("hub", "open", "distance")).alias("to"))
-        after = after.select("bucket", "band", "member", "weight", "component", "to.open", "to.distance")
-        if turn > 1:
-            after = after.join(hubs.withColumnRenamed("hub", "member"), ["bucket", "member"], "left_anti")
-        left = after.filter("open").groupBy("bucket").agg(F.min("distance").alias("near_end"), F.max("distance").alias("far_end"))
-        within = F.col("distance").between(F.col("near_end") - slack, F.col("far_end") + slack)
-        kept = scratch.table(after.join(left, "bucket").filter(F.col("open") | within).select("bucket", "band", "member", "weight", "component"), f"state-{turn}")
-        scratch.drop(f"state-{turn - 1}", f"met-{turn}")
-        # Buckets of one component are done.
-        by_component = kept.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        largest = F.max(F.struct("n", "component"))
-        several = by_component.groupBy("bucket").agg(F.sum("n").alias("all"), largest["n"].alias("most"), largest["component"].alias("major")).filter(F.col("all") > F.col("most"))
-        fits = (F.col("all") <= REST) & (F.col("all") * (F.col("all") - F.col("most")) <= REST_PAIRS)
-        dealt = kept.join(several.filter(fits).select("bucket"), "bucket").join(marks, "member").repartition("bucket").sortWithinPartitions("bucket", "member")
-        confirm(_likely(dealt.select("bucket", "band", "member", "component", "marks"), near), f"rest-{turn}")
-        large = several.filter(~fits).select("bucket", "major")
-        if not large.limit(1).count():
-            return edges()
-        state = scratch.table(kept.join(large, "bucket").select("bucket", "band", "member", "weight", "component", "major"), f"large-{turn}")
+        return scratch.table(_confirmed(pairs.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member")).distinct(), sets, near), name)
+
+    top = F.max(F.struct("weight", (-F.col("member")).alias("id")))
+    hubs = scratch.table(state.groupBy("bucket").agg(top.alias("top")).select("bucket", (-F.col("top.id")).alias("hub")), "hubs")
+    met = scratch.table(state.join(hubs, "bucket").filter("member <> hub"), "met")
+    checked = confirm(met, "checked")
+    linked = checked.filter("linked").select("hub", "member").distinct()
+    label = connected(linked, Scratch(spark, "near-dedup-star"))
+    labelled = lambda d, c, to: d.join(label.select(F.col("node").alias(c), F.col("component").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
+    named = met.select("bucket", "band", "member", "hub", F.least("hub", "member").alias("low"), F.greatest("hub", "member").alias("high"))
+    known = named.join(checked.select(F.col("hub").alias("low"), F.col("member").alias("high"), "distance"), ["low", "high"])
+    known = labelled(labelled(known, "member", "component"), "hub", "hub_component").withColumn("open", F.col("component") != F.col("hub_component"))
+    after = scratch.table(known.select("bucket", "band", "member", "component", "open", "distance"), "after")
+    left = scratch.table(after.filter("open").groupBy("bucket").agg(F.min("distance").alias("near_end"), F.max("distance").alias("far_end")), "left")
+    slack = 1 - near.percent / 100 + 1e-9
+    within = F.col("distance").between(F.col("near_end") - slack, F.col("far_end") + slack)
+    kept = scratch.table(after.join(left, "bucket").filter(F.col("open") | within).select("bucket", "band", "member", "component"), "kept")
+    # Buckets of one component are done.
+    several = scratch.table(_several(kept), "several")
+    fits = F.col("all") * (F.col("all") - F.col("most")) <= REST_PAIRS
+    found = _likely(_cells(kept, several.filter(fits), marks), near)
+    if several.filter(~fits).limit(1).count():
+        large = kept.join(several.filter(~fits).select("bucket"), "bucket").select("member", "component").distinct()
+        again = scratch.table(_by_sketch(large.join(marks, "member"), near), "again")
+        found = found.unionByName(_likely(_cells(again, scratch.table(_several(again), "several-again"), marks), near))
+    rest = confirm(found, "rest")
+    scratch.drop("shared", "state", "central", "central-bits", "hubs", "met", "checked", "after", "left", "kept", "several", "several-again", "again", "sets")
+    return label, rest.filter("linked").select("hub", "member")
 
 
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -311,7 +360,6 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     now = scratch.table(edges.select(F.greatest("hub", "member").alias("high"), F.least("hub", "member").alias("low")).filter("high <> low").distinct(), "star-0")
     state, turn = None, 0
-    mark = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
     while True:
         both = now.unionByName(now.select(F.col("low").alias("high"), F.col("high").alias("low"))).select(F.col("high").alias("node"), F.col("low").alias("next"))
         lowest = both.groupBy("node").agg(F.least(F.min("next"), F.col("node")).alias("lowest"))
@@ -320,9 +368,10 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
         small = large.join(least, "high").select("high", "low", "lowest")
         stars = small.select("high", F.col("lowest").alias("low")).unionByName(small.select(F.col("low").alias("high"), F.col("lowest").alias("low"))).filter("high <> low").distinct()
         turn += 1
-        now = scratch.table(stars, f"star-{turn}")
+        seen = Observation()
+        now = scratch.table(stars.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)")).alias("mark")), f"star-{turn}")
         scratch.drop(f"star-{turn - 1}")
-        if (was := state) == (state := mark(now)):
+        if (was := state) == (state := seen.get):
             return now.select(F.col("high").alias("node"), F.col("low").alias("component"))
 
 
@@ -336,13 +385,16 @@ def components(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", tex
     key = ["n_shingles", "key_a", "key_b"]
     taking_part = rows.filter("doc_id is not null and n_shingles > 0")
     classes = scratch.table(taking_part.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"), F.first("bands").alias("bands")), "classes")
-    reached = scratch.table(connected(_with_repeats(links(classes, given, near, scratch), taking_part, key, classes), scratch), "components")
-    scratch.drop("sets")
+    label, between = links(classes, given, near, scratch)
+    between = _with_repeats(between, taking_part, key, classes)
+    if between.limit(1).count():
+        label = connected(between.unionByName(label.select(F.col("component").alias("hub"), F.col("node").alias("member"))), scratch)
+    reached = label
     labelled = classes.select(*key, "rep", "members").join(reached.withColumnRenamed("node", "rep"), "rep", "left")
     labelled = scratch.table(labelled.select(*key, "members", F.coalesce("component", "rep").alias("component")), "labelled")
-    # Classes of a thousandth of the rows or more: there can be HOT_SHARE of them at most.
-    total = rows.count()
-    hot = labelled.filter(F.col("members") * HOT_SHARE >= max(total, HOT_SHARE)).filter("members > 1")
+    # Large classes are looked up: a broadcast of few rows at any size.
+    share, total = hot_share(spark), rows.count()
+    hot = labelled.filter(F.col("members") * share >= max(total, share)).filter("members > 1")
     narrow = rows.select("doc_id", *key)
     first = narrow.join(F.broadcast(hot.select(*key, F.col("component").alias("hot"))), key, "left")
     lone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
@@ -369,5 +421,4 @@ def keep_first(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", tex
     scratch = Scratch(docs.sparkSession, "near-keep")
     name = free_name(docs, "lost_id")
     lost = scratch.table(components(docs, near, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(name)).distinct(), "lost")
-    # The dropped ids grow with the input: never a broadcast.
-    return docs.join(lost.hint("merge"), F.col(id_col).cast("long") == F.col(name), "left_anti")
+    return without_ids(docs, F.col(id_col).cast("long"), lost, scratch)
