@@ -3,10 +3,16 @@
 Built of DataFrame operations only. Every text's key is 60 bits of a digest of its
 normalised form. The directory maps the key's leading bits to buckets: a bucket that
 holds more keys than it may is split, and wherever that needs one more bit than any
-bucket had, the directory doubles. The index is a folder of Parquet files sorted by
-(bucket, key), so each task that writes it owns a range of keys; a second folder holds
-the directory. Keys that several rows share are checked by comparing the texts' bytes:
-a key's chain has one entry for each different text.
+bucket had, the directory doubles. Keys go through the directory to their buckets, and
+buckets to tasks that own ranges of (bucket, key): an owner forms the groups of its keys
+and chains what collides, one entry for each different text of a key. What the owners
+write, files in order of (bucket, key), is the index; a second folder holds the
+directory. Each document is then looked up in it, again through the directory.
+
+Before keys move, each task counts its own equal ones, so that a text that a third of
+all rows have arrives as a few rows. Texts move only where several rows share a key, and
+equal ones of a task as one: their bytes are compared where they meet. Which texts these
+are is told by a set of bits of bounded size, which lets all through where it is full.
 
 Defined results: a null text counts as empty, and white space is one space wherever it
 stands, also at the ends; the row with the smallest id stays (null ids last); rows
@@ -20,13 +26,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Scratch, free_name, split_count, text_of
+from .common import Scratch, bits_of, free_name, hot_share, sifted, split_count, text_of
 
 #: Bits of a key that the directory can use at most; so it has 65,536 entries at most.
 MAX_DEPTH = 16
-#: Groups of at least 1 in so many rows are looked up in a broadcast table; there are no more of them than this.
-HOT_SHARE = 1000
 
 
 def normalised(text: str | Column) -> Column:
@@ -50,30 +55,37 @@ def prefix_of(key: Column) -> Column:
 
 
 def directory(keys: DataFrame, capacity: int) -> DataFrame:
-    """For each prefix of MAX_DEPTH bits that occurs: the bucket it leads to and that bucket's depth.
+    """For each prefix of MAX_DEPTH bits under which there are keys: the bucket it leads to and that bucket's depth.
 
-    ``keys`` has one row per key. A bucket of depth d holds all keys that share d
-    leading bits; it is split until it holds ``capacity`` keys at most, or no bits are
-    left. Depths are found for all prefixes at once, from counts that are added up
-    prefix by prefix: 65,536 rows at most, whatever the table's size.
+    ``keys`` has a row or a few for each key. A bucket of depth d holds all keys that share
+    d leading bits; it is split until it holds ``capacity`` rows at most, or no bits are
+    left. Depths are found for all prefixes at once, from counts of every prefix's nodes:
+    131,071 nodes at most, whatever the table's size.
     """
     counts = keys.groupBy(prefix_of(F.col("key")).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-    by_depth = counts.select("prefix", "n", F.explode(F.sequence(F.lit(0), F.lit(MAX_DEPTH))).alias("depth")).withColumn(
-        "bucket", F.expr(f"shiftright(prefix, {MAX_DEPTH} - depth)")
-    )
-    held = by_depth.groupBy("depth", "bucket").agg(F.sum("n").alias("held"), F.collect_set("prefix").alias("prefixes"))
-    fits = held.filter((F.col("held") <= capacity) | (F.col("depth") == MAX_DEPTH))
-    return (
-        fits.select("depth", F.explode("prefixes").alias("prefix"))
-        .groupBy("prefix")
-        .agg(F.min("depth").alias("depth"))
-        .withColumn("bucket", F.expr(f"shiftleft(shiftright(prefix, {MAX_DEPTH} - depth), {MAX_DEPTH} - depth)"))
-    )
+    by_depth = counts.select("n", F.explode(F.sequence(F.lit(0), F.lit(MAX_DEPTH))).alias("depth"), "prefix").withColumn("node", F.expr(f"shiftright(prefix, {MAX_DEPTH} - depth)"))
+    held = by_depth.groupBy("depth", "node").agg((F.sum("n") > capacity).alias("over")).withColumn("over", F.col("over") & (F.col("depth") < MAX_DEPTH))
+    # A bucket is what fits and whose parent doesn't; the root has no parent.
+    split = held.filter("over").select((F.col("depth") + 1).alias("depth"), F.col("node").alias("parent"))
+    leaves = held.filter("not over").withColumn("parent", F.shiftright("node", 1)).join(split, ["depth", "parent"], "left_semi").select("depth", "node")
+    leaves = leaves.unionByName(held.filter("not over and depth = 0").select("depth", "node"))
+    first = F.expr(f"shiftleft(node, {MAX_DEPTH} - depth)")
+    last = F.expr(f"shiftleft(node + 1, {MAX_DEPTH} - depth) - 1")
+    return leaves.select(F.explode(F.sequence(first, last)).alias("prefix"), "depth", first.alias("bucket"))
+
+
+def routed(keys: DataFrame, directory_: DataFrame, how: str = "inner") -> DataFrame:
+    """The keys with the buckets that the directory leads them to: 65,536 short rows at most are broadcast."""
+    side = F.broadcast(directory_.select("prefix", "bucket"))
+    return keys.withColumn("prefix", prefix_of(F.col("key"))).join(side, "prefix", how).drop("prefix")
 
 
 @dataclass
 class ExtendibleIndex:
-    """An index on shared files: ``entries`` (bucket, key, chain, keep_id, group_size, sha) and ``directory``."""
+    """An index on shared files: ``entries`` (bucket, key, chain, sha, keep_id, keep_row, group_size, texts) and ``directory``.
+
+    ``chain`` numbers the different texts of a key, and ``texts`` counts them.
+    """
 
     entries: DataFrame
     directory: DataFrame
@@ -82,8 +94,8 @@ class ExtendibleIndex:
         """Each document's id with the keep_id of the equal indexed text, null where there is none."""
         sha = digest(normalised(text_col))
         asked = docs.select(F.col(id_col).alias("doc_id"), sha.alias("sha")).withColumn("key", key_of(F.col("sha")))
-        routed = asked.withColumn("prefix", prefix_of(F.col("key"))).join(self.directory.select("prefix", "bucket"), "prefix", "left")
-        return routed.join(self.entries.select("bucket", "key", "sha", "keep_id"), ["bucket", "key", "sha"], "left").select("doc_id", "keep_id")
+        entries = self.entries.select("bucket", "key", "sha", "keep_id")
+        return routed(asked, self.directory, "left").join(entries, ["bucket", "key", "sha"], "left").select("doc_id", "keep_id")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> ExtendibleIndex:
@@ -96,77 +108,69 @@ def _smallest() -> Column:
 
 
 def build(docs: DataFrame, scratch: Scratch, capacity: int = 1 << 16, bits: int = 60, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, ExtendibleIndex]:
-    """The documents' keys (doc_id, row, key, sha) and the index over their texts.
-
-    Only texts whose key another row shares are read and moved again; each task first
-    joins its own equal texts, so a large group moves one text for each task.
-    """
+    """The documents' keys (doc_id, row, key, sha) and the index over their texts."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm"))
     keyed = texts.select("doc_id", digest(F.col("norm")).alias("sha")).select(
         "doc_id", F.monotonically_increasing_id().alias("row"), key_of(F.col("sha"), bits).alias("key"), "sha"
     )
     keys = scratch.table(keyed, "keys")
-    by_key = scratch.table(
-        keys.groupBy("key").agg(F.count(F.lit(1)).alias("group_size"), _smallest().alias("first"), F.min("sha").alias("sha"), F.max("sha").alias("last_sha")),
-        "by_key",
-    )
-    shared = by_key.filter("group_size > 1").select("key")
-    # Chains: one row for each different text of a key that several rows have.
-    again = texts.withColumn("key", key_of(digest(F.col("norm")), bits)).join(shared, "key", "left_semi")
-    chains = scratch.table(
-        again.groupBy("key", "norm").agg(F.count(F.lit(1)).alias("copies")).select("key", digest(F.col("norm")).alias("sha"), F.octet_length("norm").alias("n_bytes"), "copies"),
-        "chains",
-    )
-    collided = chains.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
-    # Chains of several texts are told apart by their digests, and by nothing less: two
-    # texts with one digest and different bytes would show here as a repeated digest.
-    twins = chains.groupBy("key", "sha").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
-    if twins.limit(1).count():
+    # The row's upper bits tell the task that read it: a key has as many rows here as tasks have it.
+    by_task = keys.groupBy("key", "sha", F.shiftright("row", 33).alias("task"))
+    combined = scratch.table(by_task.agg(F.count(F.lit(1)).alias("copies"), _smallest().alias("first")), "combined")
+    dir_table = scratch.table(directory(combined, capacity), "directory")
+    # Each task owns a range of (bucket, key): the groups and chains of its keys are formed without another move.
+    owned = routed(combined, dir_table).repartitionByRange(split_count(spark), "bucket", "key")
+    groups = owned.groupBy("bucket", "key", "sha").agg(F.sum("copies").alias("group_size"), F.min("first").alias("first"))
+    of_key = Window.partitionBy("bucket", "key")
+    entries = scratch.table(
+        groups.select(
+            "bucket", "key", F.row_number().over(of_key.orderBy("sha")).alias("chain"), "sha", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"),
+            "group_size", F.count(F.lit(1)).over(of_key).alias("texts"),
+        ).sortWithinPartitions("bucket", "key", "sha"),
+        "entries",
+    )
+    shared = scratch.table(bits_of(F.col("key"), entries.filter("group_size > 1 or texts > 1")), "shared-bits")
+    again = sifted(texts.select(key_of(digest(F.col("norm")), bits).alias("key"), "norm"), F.col("key"), shared, True)
+    met = again.groupBy("key", "norm").agg(F.count(F.lit(1)).alias("copies"))
+    chains = scratch.table(met.select("key", digest(F.col("norm")).alias("sha"), "copies"), "chains")
+    # Where bytes differ, so do digests; two texts with one digest would show here.
+    if chains.groupBy("key", "sha").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").limit(1).count():
         raise ValueError("different texts share a SHA-256 digest")
-    alone = by_key.join(collided, "key", "left_anti").select("key", "sha", "first", "group_size")
-    chained = (
-        keys.join(collided, "key", "left_semi").groupBy("key", "sha").agg(F.count(F.lit(1)).alias("group_size"), _smallest().alias("first")).select("key", "sha", "first", "group_size")
-    )
-    entries = alone.unionByName(chained)
-    dir_table = scratch.table(directory(by_key, capacity).coalesce(1), "directory")
-    # 65,536 short rows at most: a broadcast of proven size.
-    routed = entries.withColumn("prefix", prefix_of(F.col("key"))).join(F.broadcast(dir_table.select("prefix", "bucket")), "prefix")
-    # Each task owns a range of (bucket, key), and writes it in order.
-    owned = routed.repartitionByRange(split_count(spark), "bucket", "key", "sha").sortWithinPartitions("bucket", "key", "sha")
-    written = scratch.table(
-        owned.select("bucket", "key", "sha", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size"), "entries"
-    )
-    scratch.drop("by_key", "chains")
-    return keys, ExtendibleIndex(written, dir_table)
+    scratch.drop("combined", "chains", "shared-bits")
+    return keys, ExtendibleIndex(entries, dir_table)
 
 
 def exact_dedup(docs: DataFrame, capacity: int = 1 << 16, bits: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    scratch = Scratch(docs.sparkSession, "exact-dedup")
-    keys, index = build(docs, scratch, capacity, bits, id_col, text_col)
-    total = keys.count()
-    entries = index.entries.select("sha", "keep_id", "keep_row", "group_size")
-    # Groups of a thousandth of the rows or more: there can be HOT_SHARE of them at most.
-    hot = entries.filter(F.col("group_size") * HOT_SHARE >= max(total, HOT_SHARE)).filter("group_size > 1")
-    with_hot = keys.select("doc_id", "row", "sha").join(F.broadcast(hot.withColumn("hot", F.lit(True))), "sha", "left")
+    spark = docs.sparkSession
+    keys, index = build(docs, Scratch(spark, "exact-dedup"), capacity, bits, id_col, text_col)
+    own = ["bucket", "key", "sha"]
+    entries = index.entries.select(*own, "keep_id", "keep_row", "group_size")
+    # Large groups are looked up: a broadcast of few rows at any size.
+    share, total = hot_share(spark), keys.count()
+    hot = entries.filter(F.col("group_size") * share >= max(total, share)).filter("group_size > 1")
+    asked = routed(keys, index.directory)
+    with_hot = asked.join(F.broadcast(hot.withColumn("hot", F.lit(True))), own, "left")
     result = lambda d: d.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
-    cold = with_hot.filter("hot is null").select("doc_id", "row", "sha").join(entries, "sha")
+    cold = with_hot.filter("hot is null").select("doc_id", "row", *own).join(entries, own)
     return result(with_hot.filter("hot")).unionByName(result(cold))
 
 
 def keep_first(docs: DataFrame, capacity: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns.
 
-    The dropped documents' (id, digest) pairs grow with the input, so the texts move
-    once, to where their pairs are, at any size. Rows that repeat both id and text are dealt with apart, as
-    there are none in a table with unique ids.
+    The dropped documents' (id, digest) pairs grow with the input, so texts move to where
+    their pairs are, at any size; but only those whose ids may be among the dropped ones.
+    Rows that repeat both id and text are dealt with apart, as there are none in a table
+    with unique ids.
     """
     marked = exact_dedup(docs, capacity, id_col=id_col, text_col=text_col)
     scratch = Scratch(docs.sparkSession, "exact-keep")
     sha, ident = free_name(docs, "text_sha"), F.col(id_col)
     lost = scratch.table(marked.filter("not kept").select(F.col("doc_id").alias("lost_id"), F.col("text_sha256").alias("lost_sha"), (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("repeat")), "lost")
-    with_sha = docs.withColumn(sha, digest(normalised(text_col)))
+    ids = scratch.table(bits_of(F.col("lost_id"), lost), "lost-bits")
+    with_sha = sifted(docs, ident, ids, True).withColumn(sha, digest(normalised(text_col)))
     on = lambda side: ident.eqNullSafe(side["lost_id"]) & (with_sha[sha] == side["lost_sha"])
     copies = lost.filter("not repeat").distinct().hint("merge")
     stay = with_sha.join(copies, on(copies), "left_anti")
@@ -174,4 +178,4 @@ def keep_first(docs: DataFrame, capacity: int = 1 << 16, id_col: str = "doc_id",
     if repeats.limit(1).count():
         twice = stay.join(repeats, on(repeats), "left_semi").dropDuplicates([id_col, sha])
         stay = stay.join(repeats, on(repeats), "left_anti").unionByName(twice)
-    return stay.drop(sha)
+    return sifted(docs, ident, ids, False).unionByName(stay.drop(sha))
