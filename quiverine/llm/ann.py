@@ -6,6 +6,12 @@ for any vector how likely each part holds them. Every row is indexed in its like
 part; a query goes to its likeliest parts until their probabilities add up to a share,
 and all rows of those parts are scored exactly, by inner products in double precision.
 
+The number of parts grows with the square root of the rows. The share is measured when
+the model is fitted: it is what RECALL takes for rows that the model hasn't seen, at any
+size. Where vectors lie in clusters, that is few parts; where they are uniform, as no
+partition separates them, it is most. A query goes on to further parts only while those
+it has hold fewer rows than it asks for.
+
 Parts of any size are dealt out in cells of bounded size: a cell holds some of a part's
 rows and some of the queries that go there, and meets them as one matrix product.
 
@@ -30,14 +36,15 @@ from pyspark.sql.window import Window
 from .common import Scratch, ship
 
 #: Rows that the graph and the classifier are fitted on, at most: those with the smallest hashes of their ids.
-FIT_ROWS = 4096
-PARTS = 16
-#: A query's parts hold its neighbours with this probability, as the classifier sees it.
-SHARE = 0.965
-#: A query's parts hold about so many rows for each neighbour that is asked for, at least.
-ROWS_PER_NEIGHBOUR = 50
+FIT_ROWS = 8192
+#: One in so many of these isn't learned from; the share of probability that queries visit is measured on them.
+HELD_OUT = 16
+#: The part of a query's neighbours that its parts are to hold, as measured.
+RECALL = 0.95
+#: Parts at most, so that the model that goes to every task is bounded.
+MOST_PARTS = 1024
 #: Rows and queries that meet in a cell, about.
-CELL_ROWS, CELL_QUERIES = 16_384, 4096
+CELL_ROWS, CELL_QUERIES = 32_768, 16_384
 #: Sums of products in another order may differ by so much, for each unit of the norms' product.
 ROUNDING = 1e-12
 
@@ -53,6 +60,11 @@ def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def parts_for(rows: int) -> int:
+    """A power of two near a quarter of the square root of the rows."""
+    return min(1 << round(np.log2(max(np.sqrt(rows) / 4, 1))), MOST_PARTS)
+
+
 def halves(graph: np.ndarray, inside: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Two halves of some nodes, as a mask, with few edges between them.
 
@@ -134,6 +146,35 @@ class Router:
                     own.layers[i] -= 0.003 * first[i] / (1 - 0.9**step) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
         return own
 
+    @staticmethod
+    def measured(x: np.ndarray, parts: int, k: int) -> tuple[Router, float]:
+        """A classifier, and the share of probability that holds RECALL of the ``k`` neighbours of rows it hasn't seen."""
+        held = np.arange(len(x)) % HELD_OUT == HELD_OUT - 1
+        known, asked = x[~held], x[held]
+        router = Router.fit(known, parts)
+        if not len(asked) or parts == 1:
+            return router, 1.0
+        part = router.probabilities(known).argmax(1)
+        p = router.probabilities(asked)
+        near = asked @ known.T
+        own = part[np.argsort(-near, axis=1, kind="stable")[:, :k]]
+        order = np.argsort(-p, axis=1, kind="stable")
+        sorted_ = np.take_along_axis(p, order, 1)
+        before = np.empty_like(p)
+        np.put_along_axis(before, order, np.cumsum(sorted_, 1) - sorted_, 1)
+        # A part is visited while the likelier ones add up to less than the share.
+        needed = np.sort(np.take_along_axis(before, own, 1), axis=None)
+        return router, float(needed[int(np.ceil(RECALL * len(needed))) - 1]) + 1e-9
+
+    def visits(self, x: np.ndarray, share: float, held: np.ndarray, least: int) -> list[np.ndarray]:
+        """The parts that each query goes to: by probability up to a share, and until they hold ``least`` rows."""
+        p = self.probabilities(x)
+        order = np.argsort(-p, axis=1, kind="stable")
+        sorted_ = np.take_along_axis(p, order, 1)
+        before, rows = np.cumsum(sorted_, 1) - sorted_, np.cumsum(held[order], 1) - held[order]
+        wide = ((before < share) | (rows < least)).sum(1)
+        return [order[i, : wide[i]].astype(np.int32) for i in range(len(x))]
+
     def _forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         z = (x - self.mean) / self.scale
         h = np.maximum(z @ self.layers[0] + self.layers[1], 0)
@@ -178,8 +219,8 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_id
     rows, row_ids = rows[order], row_ids[order]
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     bound = np.sqrt((rows**2).sum(1).max()) if len(rows) else 0.0
-    for at in range(0, len(queries), 256):
-        q, ids = queries[at : at + 256], query_ids[at : at + 256]
+    for at in range(0, len(queries), 128):
+        q, ids = queries[at : at + 128], query_ids[at : at + 128]
         near = q @ rows.T
         near[row_ids[None, :] == ids[:, None]] = -np.inf
         if len(rows) > k:
@@ -199,34 +240,41 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_id
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # type: ignore[return-value]
 
 
-def search(table: DataFrame, k: int = 20, every: int = 20, parts: int = PARTS, share: float = SHARE, fit_rows: int = FIT_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(table: DataFrame, k: int = 20, every: int = 20, parts: int | None = None, share: float | None = None, fit_rows: int = FIT_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest rows found for each row whose id is divisible by ``every``: query_id, rank, vec_id, score."""
     spark = table.sparkSession
     ship(spark)
     scratch = Scratch(spark, "ann")
     valid, length = valid_vectors(table, id_col, vector_col)
     rows = scratch.table(valid, "vectors")
-    # fit_rows rows at most come to the driver, and a model of fixed size goes out.
+    # fit_rows rows at most come to the driver, and a model of bounded size goes out.
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).toArrow()
     total = rows.count()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    router = Router.fit(_matrix(sample["vector"], length), parts)
-    least = min(parts, -(-k * ROWS_PER_NEIGHBOUR * parts // total))
+    parts = parts or parts_for(total)
+    router, measured = Router.measured(_matrix(sample["vector"], length), parts, k)
+    share = measured if share is None else share
 
-    def route(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def assign(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
-            p = router.probabilities(_matrix(batch.column("vector"), length))
-            order = np.argsort(-p, axis=1, kind="stable")
-            wide = np.maximum((np.cumsum(np.take_along_axis(p, order, 1), 1) < share).sum(1) + 1, least)
-            asks = batch.column("vec_id").to_numpy() % every == 0
-            probes = [order[i, : wide[i]].astype(np.int32) if a else None for i, a in enumerate(asks.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(order[:, 0].astype(np.int32)), pa.array(probes, pa.list_(pa.int32()))], names=["vec_id", "vector", "part", "probes"]
-            )
-
-    routed = scratch.table(rows.mapInArrow(route, "vec_id long, vector array<double>, part int, probes array<int>"), "routed")
-    asked = routed.filter("probes is not null").select("vec_id", "vector", F.explode("probes").alias("part"))
+            part = router.probabilities(_matrix(batch.column("vector"), length)).argmax(1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], names=["vec_id", "vector", "part"])
+
+    routed = scratch.table(rows.mapInArrow(assign, "vec_id long, vector array<double>, part int"), "routed")
+    # A number for each part.
+    in_parts = np.zeros(parts, np.int64)
+    for r in routed.groupBy("part").count().collect():
+        in_parts[r["part"]] = r["count"]
+
+    def ask(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            visits = router.visits(_matrix(batch.column("vector"), length), share, in_parts, k + 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(visits, pa.list_(pa.int32()))], names=["vec_id", "vector", "probes"])
+
+    queries_ = routed.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "vector")
+    asked = scratch.table(queries_.mapInArrow(ask, "vec_id long, vector array<double>, probes array<int>"), "asked")
+    asked = asked.select("vec_id", "vector", F.explode("probes").alias("part"))
     # A row for each part: how many cells its rows and its queries are dealt to.
     held = routed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("row_cells"))
     wanted = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).cast("int").alias("query_cells"))

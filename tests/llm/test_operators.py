@@ -508,6 +508,26 @@ def test_nearest_of_odd_vectors(spark):
     assert ann.search(table.filter("false")).count() == 0 and ann.search(table.filter("vec_id = 0")).count() == 0
 
 
+def test_parts_follow_the_data():
+    """Clusters are found in few parts; of ten times the rows a query visits less than ten times as many."""
+    rng, visited = np.random.default_rng(1), []
+    for n in (4000, 40_000):
+        middle = rng.standard_normal((100, 32))
+        x = middle[rng.integers(0, 100, n)] + 0.3 * rng.standard_normal((n, 32))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        parts = ann.parts_for(n)
+        router, share = ann.Router.measured(x[rng.permutation(n)[: ann.FIT_ROWS]], parts, 20)
+        part = router.probabilities(x).argmax(1)
+        held = np.bincount(part, minlength=parts)
+        asked = np.arange(0, n, n // 100)
+        visits = router.visits(x[asked], share, held, 21)
+        near = np.argsort(-(x[asked] @ x.T), axis=1)[:, 1:21]
+        assert np.mean([np.isin(part[near[i]], v).mean() for i, v in enumerate(visits)]) >= 0.9
+        visited.append(np.mean([held[v].sum() for v in visits]))
+    assert visited[0] < 0.15 * 4000 and visited[1] < 7 * visited[0]
+    assert [ann.parts_for(n) for n in (0, 10, 500, 50_000, 10**12)] == [1, 1, 4, 64, ann.MOST_PARTS]
+
+
 def test_nearest_keeps_ties_to_smaller_ids():
     rows, ids = np.tile([[1.0, 2.0]], (50, 1)), np.arange(100, 50, -1)
     _, got, score = ann.nearest(np.array([[3.0, 1.0]]), np.array([55]), rows, ids, 4)
