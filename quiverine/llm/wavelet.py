@@ -4,7 +4,9 @@ A wavelet matrix keeps a sequence of ids as bit-planes, the highest bit first; e
 plane is ordered by the bits above it. Ranks on the planes give the id at a place, the
 number of times that an id occurs before a place, and the places where it occurs. A
 file holds the planes, a directory of ranks and the documents' ids and lengths, all
-compressed with zstd.
+compressed with zstd. Planes are compressed in frames of FRAME bytes, and a frame is read
+and unpacked when it is needed: one access, rank or select of a file takes a frame or a
+few of each plane.
 
 Defined results: a null text counts as empty and is its end id alone; documents are in
 order of their ids, null ids first and repeated ids by a hash of their texts; an empty table
@@ -18,7 +20,8 @@ import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -26,21 +29,53 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches, ship, split_count, text_of
+from .common import Scratch, batches, file_system, ship, split_count, text_of
 from .vocab import byte_alphabet, default_path, vocabulary
 from .words import WordTable
 
 MAGIC = b"QWM1"
 #: Ranks are kept for every so many bits of a plane.
 BLOCK = 4096
+#: Bytes of a plane that are compressed together: a multiple of what a block of ranks covers.
+FRAME = 1 << 15
 #: Tokens of a shard; the shard ends with the document that reaches it.
 SHARD_TOKENS = 1 << 21
 
 
+class Plane:
+    """A plane in a file: its frames are read and unpacked on demand, and a few of them are remembered."""
+
+    def __init__(self, read: Callable[[int, int], bytes], frames: list[tuple[int, int]], size: int) -> None:
+        self.read, self.frames, self.size = read, frames, size
+        self.known: dict[int, np.ndarray] = {}
+        #: Frames that were unpacked so far.
+        self.unpacked = 0
+
+    def frame(self, number: int) -> np.ndarray:
+        if number not in self.known:
+            if len(self.known) >= 4:
+                self.known.pop(next(iter(self.known)))
+            self.known[number] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.read(*self.frames[number])), np.uint8)
+            self.unpacked += 1
+        return self.known[number]
+
+    def __getitem__(self, at: int | slice) -> Any:
+        """A byte, or bytes of one frame."""
+        if not isinstance(at, slice):
+            return self.frame(at // FRAME)[at % FRAME]
+        if at.start >= min(at.stop, self.size):
+            return np.zeros(0, np.uint8)
+        first = at.start // FRAME * FRAME
+        return self.frame(at.start // FRAME)[at.start - first : at.stop - first]
+
+    def whole(self) -> np.ndarray:
+        return np.concatenate([self.frame(i) for i in range(len(self.frames))]) if self.frames else np.zeros(0, np.uint8)
+
+
 class WaveletMatrix:
     """Ids as bit-planes with rank and select."""
 
-    def __init__(self, n: int, alphabet: np.ndarray, zeros: list[int], planes: list[np.ndarray], ranks: list[np.ndarray]) -> None:
+    def __init__(self, n: int, alphabet: np.ndarray, zeros: list[int], planes: list[Any], ranks: list[np.ndarray]) -> None:
         self.n, self.alphabet, self.zeros, self.planes, self.ranks = n, alphabet, zeros, planes, ranks
 
     @property
@@ -140,7 +175,8 @@ class WaveletMatrix:
         kind = np.uint16 if self.levels <= 16 else np.uint32
         now = np.zeros(self.n, kind)
         for level in range(self.levels - 1, -1, -1):
-            bits = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            plane = self.planes[level]
+            bits = np.unpackbits(plane.whole() if isinstance(plane, Plane) else plane, count=self.n, bitorder="little").view(bool)
             up = np.empty(self.n, kind)
             zeros = self.zeros[level]
             up[np.flatnonzero(~bits)] = now[:zeros]
@@ -163,34 +199,74 @@ def to_bytes(doc_ids: list[int | None], lengths: list[int], matrix: WaveletMatri
     missing = np.array([i is None for i in doc_ids], np.uint8)
     parts = [pack(x.tobytes()) for x in (ids, missing, np.array(lengths, "<i8"), matrix.alphabet.astype("<u4"))]
     for plane, ranks in zip(matrix.planes, matrix.ranks, strict=True):
-        parts += [pack(plane.tobytes()), pack(ranks.astype("<u4").tobytes())]
-    header = json.dumps({"documents": len(doc_ids), "tokens": matrix.n, "zeros": matrix.zeros, "parts": [len(p) for p in parts]}).encode()
+        parts += [pack(ranks.astype("<u4").tobytes()), *(pack(plane[at : at + FRAME].tobytes()) for at in range(0, len(plane), FRAME))]
+    header = json.dumps({"documents": len(doc_ids), "tokens": matrix.n, "zeros": matrix.zeros, "frame": FRAME, "parts": [len(p) for p in parts]}).encode()
     return MAGIC + struct.pack("<I", len(header)) + header + b"".join(parts)
 
 
+class Shard:
+    """A file of a shard, of which only what is asked for is read and unpacked. ``read`` gives bytes by place and size."""
+
+    def __init__(self, read: Callable[[int, int], bytes]) -> None:
+        start = read(0, 8)
+        if start[:4] != MAGIC:
+            raise ValueError("not a wavelet file")
+        n = struct.unpack_from("<I", start, 4)[0]
+        self.header = json.loads(read(8, n))
+        if self.header["frame"] != FRAME:
+            raise ValueError("a wavelet file of another frame size")
+        sizes = self.header["parts"]
+        ends = (8 + n + np.cumsum(sizes)).tolist()
+        self.read, self.parts = read, [(e - s, s) for e, s in zip(ends, sizes, strict=True)]
+        tokens, levels = self.header["tokens"], len(self.header["zeros"])
+        size = -(-tokens // 8)
+        step = 1 + -(-size // FRAME)
+        at = [4 + step * level for level in range(levels)]
+        planes = [Plane(read, self.parts[a + 1 : a + step], size) for a in at]
+        self.matrix = WaveletMatrix(tokens, self._part(3, "<u4"), self.header["zeros"], planes, [self._part(a, "<u4") for a in at])
+
+    def _part(self, number: int, kind: str) -> np.ndarray:
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(self.read(*self.parts[number])), kind)
+
+    def documents(self) -> tuple[list[int | None], np.ndarray]:
+        """The documents' ids and lengths."""
+        ids, missing = self._part(0, "<i8"), self._part(1, np.uint8)
+        return [None if m else i for i, m in zip(ids.tolist(), missing.tolist(), strict=True)], self._part(2, "<i8")
+
+
 def from_bytes(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """The documents' ids and lengths, and the matrix of a file."""
-    if data[:4] != MAGIC:
-        raise ValueError("not a wavelet file")
-    n = struct.unpack_from("<I", data, 4)[0]
-    header = json.loads(data[8 : 8 + n])
-    unpack = zstandard.ZstdDecompressor().decompress
-    parts, at = [], 8 + n
-    for size in header["parts"]:
-        parts.append(unpack(data[at : at + size]))
-        at += size
-    ids, missing, lengths = np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], np.uint8), np.frombuffer(parts[2], "<i8")
-    planes = [np.frombuffer(p, np.uint8) for p in parts[4::2]]
-    ranks = [np.frombuffer(p, "<u4") for p in parts[5::2]]
-    return [None if m else i for i, m in zip(ids.tolist(), missing.tolist(), strict=True)], lengths, WaveletMatrix(header["tokens"], np.frombuffer(parts[3], "<u4"), header["zeros"], planes, ranks)
+    """The documents' ids and lengths, and the matrix of a file's content."""
+    shard = Shard(lambda at, size: data[at : at + size])
+    return *shard.documents(), shard.matrix
+
+
+def open_shard(uri: str, name: str) -> Shard:
+    """A file in a folder, read part by part; the folder is named as ``qualified`` gives it."""
+    system, path = open_folder(uri)
+    f = system.open_input_file(f"{path}/{name}")
+    return Shard(lambda at, size: f.read_at(size, at))
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme and authority under which Spark knows it: a bare path lies on the default file system."""
+    files, path = file_system(spark, folder)
+    return files.makeQualified(path).toString()
 
 
 def open_folder(uri: str):  # noqa: ANN201
-    """The file system of a folder that executors share, and the folder's path there."""
+    """The file system of a folder that executors share, and the folder's path there.
+
+    Python workers reach local, hdfs, s3 and gs folders, with the credentials of their environment. A bare path
+    would be one on the executor's own disk, and other schemes are known to Spark alone: both raise.
+    """
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if "://" in uri or uri.startswith("/") else uri.replace("file:", "file://", 1))
-    return system, path
+    scheme, colon, rest = uri.partition(":")
+    if not colon or scheme not in ("file", "hdfs", "s3", "s3a", "gs"):
+        raise ValueError(f"token files can't be written to {uri}")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
 def put(uri: str, name: str, data: bytes) -> None:
@@ -288,7 +364,7 @@ def write_shards(docs: DataFrame, folder: str, scratch: Scratch, tokenizer: str
     """
     spark = docs.sparkSession
     ship(spark)
-    path = tokenizer or default_path()
+    path, folder = tokenizer or default_path(), qualified(spark, folder)
     kind = vocabulary(path).kind
 
     def build(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,6 +404,7 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
     ``manifest``, a row for each shard, names the files and tells where each shard
     starts; a task opens one file at a time, and no file's content is moved.
     """
+    folder = qualified(spark, folder)
     over = "ORDER BY part, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     starts = manifest.select("name", F.expr(f"coalesce(sum(tokens) OVER ({over}), 0)").alias("shard_start"))
 

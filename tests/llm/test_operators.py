@@ -185,6 +185,23 @@ def test_wavelet_files(docs, odd, empty, library, shard_tokens):
     assert wavelet.write_and_read(empty).count() == 0
 
 
+def test_a_file_is_used_part_by_part(spark, docs, tmp_path):
+    """A folder without a scheme; an access unpacks a frame of each plane, not the planes."""
+    scratch = common.Scratch(spark, "test-wavelet")
+    manifest = wavelet.write_shards(docs, str(tmp_path / "shards"), scratch)
+    name = manifest.orderBy("part", "seq").first().name
+    assert (tmp_path / "shards" / name).exists() and wavelet.read_shards(spark, str(tmp_path / "shards"), manifest).count() == docs.count()
+    ids = (np.random.default_rng(0).zipf(1.3, 2_000_000) % 5000).astype("<u2")
+    wavelet.put(wavelet.qualified(spark, str(tmp_path)), "big.wm", wavelet.to_bytes([1], [len(ids)], wavelet.WaveletMatrix.build(ids)))
+    shard = wavelet.open_shard(f"file:{tmp_path}", "big.wm")
+    assert shard.matrix.access(1_234_567) == ids[1_234_567] and all(p.unpacked <= 2 < len(p.frames) for p in shard.matrix.planes)
+    assert shard.matrix.rank(7, 1_000_000) == (ids[:1_000_000] == 7).sum() and shard.matrix.select(7, 1000) == np.flatnonzero(ids == 7)[1000]
+    assert (shard.matrix.decode() == ids).all()
+    for bare in ("/tmp/x", "viewfs://a/b"):
+        with pytest.raises(ValueError, match="token files"):
+            wavelet.open_folder(bare)
+
+
 # 3: quality
 
 
