@@ -207,3 +207,32 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(work, schema)
+
+
+def encoded(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document to train on: doc_id, n_tokens, ids, ids_sha256, decoded_sha256, exact. Nothing is shuffled.
+
+    ``ids`` holds the ids one after another as little-endian unsigned numbers of two bytes (of four, where a
+    vocabulary has more than 65,536 ids); ``exact`` says whether decoding them gives the text again.
+    """
+    ship(docs.sparkSession)
+    path = tokenizer or default_path()
+
+    def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for batch in batches(rows, "text"):
+            given = batch.column("text").to_pylist()
+            ids = own.encode(given)
+            texts = [own.decode(i) for i in ids]
+            columns = [
+                batch.column("doc_id"),
+                pa.array([len(i) for i in ids], pa.int64()),
+                pa.array([i.astype(own.vocab.kind).tobytes() for i in ids], pa.binary()),
+                pa.array([hashlib.sha256(own.listed(i)).hexdigest() for i in ids], pa.string()),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
+                pa.array([t == g for t, g in zip(texts, given, strict=True)], pa.bool_()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256", "exact"])
+
+    given_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    return given_.mapInArrow(work, "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string, exact boolean")

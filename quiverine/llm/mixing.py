@@ -9,7 +9,7 @@ are range-sorted by position.
 Defined results: a null text has size 0; the null source is a source of its own, last
 in order; a target is 3 times its source's size at most, so that no document is taken
 more than 3 times; documents of size 0 are taken like others and add no words; ties of
-hashes are in order of ids; repeated ids are documents of their own; an empty table
+hashes are in order of ids, sizes and texts; repeated ids are documents of their own; an empty table
 gives no rows; further columns are not read, or are kept as they are (``mixed``).
 
 Only whole documents are taken: those that end before the target in their source's
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -155,8 +155,13 @@ def filling(counted: DataFrame, scratch: Scratch, gaps: dict[str | None, float],
         scratch.drop(f"left-{number - 1}", f"order-{number - 1}")
 
 
+def print_of(text_col: str, source_col: str) -> Column:
+    """Tells rows of one id apart: a hash of text and source."""
+    return F.xxhash64(F.col(text_col), F.col(source_col).cast("string"))
+
+
 def placed(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (1, 2, 3), schedules: Sequence[Schedule] = CURRICULUM, epochs: int = MOST_EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", fill: bool = False) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, positions (of its copies, ascending).
+    """One row per document: doc_id, print, size, source_size, target, taken, positions (of its copies, ascending).
 
     Only ids, sources and sizes move. Running totals over range partitions give each
     document its place in its source's order, so a source may hold any share of the rows.
@@ -165,6 +170,7 @@ def placed(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (1, 2,
     ship(spark)
     narrow = docs.select(
         F.col(id_col).alias("doc_id"),
+        print_of(text_col, source_col).alias("print"),
         F.col(source_col).cast("string").alias("source"),
         F.regexp_count(text_of(text_col), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
         F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long").alias("draw"),
@@ -187,10 +193,10 @@ def placed(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (1, 2,
             copies = (ends <= target[:, None]).sum(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copies)], names=[*batch.schema.names, "copies"])
 
-    ordered = running(sizes, scratch, "ordered", [F.col(c) for c in ("source", "draw", "doc_id", "size")], "source", ["size"])
+    ordered = running(sizes, scratch, "ordered", [F.col(c) for c in ("source", "draw", "doc_id", "size", "print")], "source", ["size"])
     kind = dict(sizes.dtypes)["doc_id"]
-    fields = f"doc_id {kind}, source string, size long, draw long, before_size long"
-    counted = scratch.table(ordered.select("doc_id", "source", "size", "draw", "before_size").mapInArrow(count, f"{fields}, copies long"), "counted")
+    fields = f"doc_id {kind}, print long, source string, size long, draw long, before_size long"
+    counted = scratch.table(ordered.select("doc_id", "print", "source", "size", "draw", "before_size").mapInArrow(count, f"{fields}, copies long"), "counted")
     # What is missing of each source, the documents that fill it up, and the one that comes nearest to the rest.
     gaps = {r.source: plan[r.source][1] - r.taken for r in counted.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()}
     steps = filling(counted, scratch, gaps, epochs) if fill and gaps else {}
@@ -240,10 +246,10 @@ def placed(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (1, 2,
                 times[own] = plan[s][2].time_of(share[own].ravel()).reshape(-1, epochs)
             offsets = np.concatenate([[0], np.cumsum(copies)])
             flat = np.concatenate([np.sort(t[:n]) for t, n in zip(times, copies.tolist(), strict=True)] or [np.zeros(0)])
-            columns = [batch.column("doc_id"), batch.column("size"), pa.array(total), pa.array(target), pa.array(size * copies), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "source_size", "target", "taken", "positions"])
+            columns = [batch.column("doc_id"), batch.column("print"), batch.column("size"), pa.array(total), pa.array(target), pa.array(size * copies), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "print", "size", "source_size", "target", "taken", "positions"])
 
-    out = filled.mapInArrow(place, f"doc_id {kind}, size long, source_size long, target double, taken long, positions array<double>")
+    out = filled.mapInArrow(place, f"doc_id {kind}, print long, size long, source_size long, target double, taken long, positions array<double>")
     table = scratch.table(out, "placed")
     scratch.drop("sizes", "ordered", "counted", *(["filled"] if steps else []))
     return table
@@ -256,19 +262,26 @@ def mix(docs: DataFrame, **options: object) -> DataFrame:
     return table.repartitionByRange(split_count(docs.sparkSession), "position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """The mix itself: the documents' rows with all their columns, as often as they are taken, in training order."""
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
+    """The mix itself: the documents' rows with all their columns, as often as they are taken, in training order.
+
+    Rows of one id are told apart by text and source. Rows that repeat these as well are taken by a hash of their
+    other columns, where these can be hashed, so that runs agree.
+    """
     scratch = Scratch(docs.sparkSession, "mixed")
-    own, places, number, position = (free_name(docs, n) for n in ("own_id", "places", "number", "position"))
-    table = placed(docs, scratch, id_col=id_col, **options).filter("size(positions) > 0").select(F.col("doc_id").alias(own), F.col("positions").alias(places))
-    on = F.col(id_col).eqNullSafe(F.col(own))
-    if table.groupBy(own).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").limit(1).count():
-        # Rows that share an id are told apart by numbering them on both sides.
-        over = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(F.lit(0)))
-        table = scratch.table(table.withColumn(f"{number}_", over(own)), "numbered")
-        joined = docs.withColumn(number, over(id_col)).join(table, on & (F.col(number) == F.col(f"{number}_"))).drop(number, f"{number}_")
+    own, print_, own_print, places, number, position = (free_name(docs, n) for n in ("own_id", "print", "own_print", "places", "number", "position"))
+    table = placed(docs, scratch, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    table = table.select(F.col("doc_id").alias(own), F.col("print").alias(own_print), F.col("positions").alias(places))
+    given = docs.withColumn(print_, print_of(text_col, source_col))
+    on = F.col(id_col).eqNullSafe(F.col(own)) & (F.col(print_) == F.col(own_print))
+    if table.groupBy(own, own_print).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").limit(1).count():
+        rest = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+        order = F.row_number().over(Window.partitionBy(own, own_print).orderBy(F.get(places, F.lit(0)).asc_nulls_last(), F.size(places).desc()))
+        table = scratch.table(table.withColumn(f"{number}_", order), "numbered")
+        given = given.withColumn(number, F.row_number().over(Window.partitionBy(id_col, print_).orderBy(F.xxhash64(*rest))))
+        joined = given.join(table.filter(F.size(places) > 0), on & (F.col(number) == F.col(f"{number}_"))).drop(number, f"{number}_")
     else:
         # Both sides grow with the input: never a broadcast.
-        joined = docs.join(table.hint("merge"), on)
-    copies = joined.drop(own).withColumn(position, F.explode(places)).drop(places)
+        joined = given.join(table.filter(F.size(places) > 0).hint("merge"), on)
+    copies = joined.drop(own, print_, own_print).withColumn(position, F.explode(places)).drop(places)
     return copies.repartitionByRange(split_count(docs.sparkSession), position, id_col).sortWithinPartitions(position, id_col).drop(position)

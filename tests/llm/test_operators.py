@@ -152,6 +152,9 @@ def test_round_trip(docs, odd, empty, library):
             want.append((str(i), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
         assert got == sorted(want)
     assert bpe.round_trip(empty).count() == 0
+    for r in bpe.encoded(odd).collect():
+        assert r.exact and [r.decoded_sha256, library.decode(np.frombuffer(r.ids, "<u2").tolist(), skip_special_tokens=False)] in [[hashlib.sha256(t.encode()).hexdigest(), t] for _, t in texts_of(odd)]
+    assert bpe.encoded(empty).count() == 0
     row = bpe.round_trip(odd.filter("doc_id = 12"), with_ids=True).first()
     assert row.ids == library.encode("word").ids and row.decoded == "word"
 
@@ -282,6 +285,13 @@ def test_mix(spark, docs, odd, empty):
     assert mixing.mixed(empty).count() == 0
 
 
+def test_mix_of_repeated_ids_agrees_between_runs(spark):
+    rows = [(i % 4 if i % 5 else None, f"word {'more ' * (i % 7)}", f"s{i % 2}", f"extra {i}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, print string")
+    runs = [sorted((str(r.doc_id), r.text, r.source, r["print"]) for r in mixing.mixed(d, fill=True).collect()) for d in (docs, docs.repartition(5), docs.orderBy(F.desc("print")))]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == mixing.mix(docs, fill=True).agg(F.sum(F.size("positions"))).first()[0]
+
+
 @pytest.mark.parametrize("few", [mixing.FEW_LEFT, 0])
 def test_mix_reaches_targets_beside_long_documents(spark, few, monkeypatch):
     """Every source has one document that is a third of it; some of them straddle their targets."""
@@ -609,3 +619,17 @@ def test_pipeline_against_plain_stages(spark, library):
     want = sorted((i, len(library.encode(t, add_special_tokens=False).ids)) for i, t in texts_of(mixed))
     assert sorted((r.doc_id, r.n_tokens) for r in stages[4](spark, mixed, sf).collect()) == want
     assert sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, sf).collect()) == want
+
+
+def test_pipeline_of_odd_tables(spark, odd, empty, library, tmp_path):
+    """Nulls, repeats, long texts and clashing columns run through all stages; an empty table gives no rows."""
+    import corpus_pipeline
+
+    schema = "doc_id long, quality int, toxic int"
+    for name, table, labels in (("odd", odd, [(i, 1, 0) for i in range(20)]), ("empty", empty, [])):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame(labels, schema).write.parquet(str(tmp_path / name / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    known = {t for _, t in texts_of(odd)}
+    assert out and all(r.exact and library.decode(np.frombuffer(r.ids, "<u2").tolist(), skip_special_tokens=False) in known for r in out)
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
