@@ -1,7 +1,16 @@
 """From raw documents to token ids, in stages that hand over Parquet.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the stage before
-kept. All but the last return documents with their columns.
+kept. All but the last return documents with their columns; the last returns each
+document's ids.
+
+Defined results: a null text counts as empty, is scored and deduplicated like one, and has
+no ids; rows with a null id are kept, and near-duplicates of others only if their ids
+aren't null; rows that repeat id and text are copies, of which one stays; rows that repeat
+only the id are documents of their own, but near-dedup joins their groups and drops an id
+as a whole; a document that the mix takes several times has as many rows; an empty table
+gives no rows; further columns of documents are kept up to the last stage, which returns
+its own columns alone.
 """
 
 from __future__ import annotations
@@ -35,8 +44,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token ids, by count and digest, checked by decoding them."""
-    return bpe.round_trip(docs)
+    """Each document's token ids, their count and digest, and whether decoding them gives the text again."""
+    return bpe.encoded(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
