@@ -23,7 +23,7 @@ from .operators import search as S
 from .operators.fusion import FusionEngine
 from .operators.index import SearchStrategy, registry
 from .operators.processors import ProcessorRegistry
-from .sources import snapshots
+from .sources import shared, snapshots
 
 Metadata = dict[str, str]
 #: Changes after which the rows' lineage is cut.
@@ -38,11 +38,11 @@ class VectorDatabase:
         self.strategy = self._new_strategy(config)
         self.rows, self.next_id, self.id_base = mutate.empty(spark), id_base, id_base
         self._dirty, self._changes = True, 0
-        self._stats = SearchStats()
+        self._stats, self._asked = SearchStats(), None
 
     @staticmethod
     def _new_strategy(config: DatabaseConfig) -> SearchStrategy:
-        return registry.create(config.algorithm, config.metric, dict(config.build_params) | {k: v for k, v in config.query_params.items() if k == "nprobe"})
+        return registry.create(config.algorithm, config.metric, dict(config.build_params) | dict(config.query_params))
 
     @classmethod
     def from_dataframe(cls, rows: DataFrame, config: DatabaseConfig, id_col: str = "id", vector_col: str = "vector", metadata: Column | None = None) -> VectorDatabase:
@@ -83,8 +83,9 @@ class VectorDatabase:
     def _become(self, rows: DataFrame, next_id: int | None = None) -> None:
         self._changes += 1
         if self._changes % CUT_AFTER == 0:
-            if self.spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-                rows = rows.checkpoint()
+            path = shared.new_folder(self.spark, "collection")
+            rows.write.mode("overwrite").parquet(f"{path}/rows")
+            rows = self.spark.read.schema(rows.schema).parquet(f"{path}/rows")
         self.rows, self._dirty = rows, True
         self.next_id = self.next_id if next_id is None else next_id
 
@@ -93,17 +94,23 @@ class VectorDatabase:
 
     def add_batch(self, vectors: Sequence[Sequence[float]], metadata: Sequence[Metadata] | None = None) -> list[int]:
         """Ids follow each other in the order of the input."""
+        new, ids = self._new_rows(vectors, metadata, self.next_id)
+        if new is not None:
+            self._take_in(new, self.next_id + len(ids))
+        return ids
+
+    def _new_rows(self, vectors: Sequence[Sequence[float]], metadata: Sequence[Metadata] | None, start: int) -> tuple[DataFrame | None, list[int]]:
+        """Checked rows with their ids; none where there are no vectors."""
         if metadata and len(metadata) != len(vectors):
             raise VectorEngineError("as many metadata maps as vectors are needed")
         own = [self._vector(v) for v in vectors]
         fields = list(metadata or [{}] * len(own))
         for m in fields:
             M.check(m)
-        ids = list(range(self.next_id, self.next_id + len(own)))
-        if own:
-            new = self.spark.createDataFrame([(i, v, m or None) for i, v, m in zip(ids, own, fields, strict=True)], mutate.SCHEMA)
-            self._take_in(new, self.next_id + len(own))
-        return ids
+        ids = list(range(start, start + len(own)))
+        if not own:
+            return None, ids
+        return self.spark.createDataFrame([(i, v, m or None) for i, v, m in zip(ids, own, fields, strict=True)], mutate.SCHEMA), ids
 
     def _take_in(self, new: DataFrame, next_id: int) -> None:
         live = not self._dirty and self.strategy.built and self.strategy.capabilities.updates
@@ -143,6 +150,17 @@ class VectorDatabase:
     def clear(self) -> None:
         self._become(mutate.empty(self.spark))
 
+    def clear_metadata(self) -> None:
+        """Drop all metadata; vectors stay."""
+        bare = self.rows.filter(F.col("vector").isNotNull()).withColumn("metadata", F.lit(None).cast("map<string,string>"))
+        self._become(bare)
+
+    def replace_all(self, vectors: Sequence[Sequence[float]], metadata: Sequence[Metadata] | None = None) -> list[int]:
+        """These rows instead of all there are, with ids from the first; nothing changes where any of them is bad."""
+        new, ids = self._new_rows(vectors, metadata, self.id_base)
+        self._become(new if new is not None else mutate.empty(self.spark), self.id_base + len(ids))
+        return ids
+
     def _ids(self, ids: Sequence[int]) -> DataFrame:
         return M.ids_frame(self.rows, ids)
 
@@ -215,6 +233,7 @@ class VectorDatabase:
         """The best rows (id, score, metadata), or with a radius all rows within it, in no order."""
         params = k if isinstance(k, SearchParams) else SearchParams(k=k, include_metadata=include_metadata)
         found = self._fresh().query(self._vector(query), params)
+        self._asked = (found, None, params.k if params.radius <= 0 else None)
         return found if params.include_metadata else found.withColumn("metadata", F.lit(None).cast("map<string,string>"))
 
     def search_numpy(self, query: np.ndarray, k: int | SearchParams = 10) -> DataFrame:
@@ -225,50 +244,91 @@ class VectorDatabase:
             queries = self.spark.createDataFrame([(i, self._vector(q)) for i, q in enumerate(queries)], "query_id long, vector array<float>")
         return self._fresh().query_batch(queries, params or SearchParams(), self._config.dimension)
 
+    def _finder(self, query: list[float], params: SearchParams, holds: Column | None = None) -> S.Find:
+        """What composite searches start from: rows that the index finds; the counts of this step are what the statistics tell."""
+
+        def find(k: int) -> DataFrame:
+            found = self._fresh().query(query, replace(params, k=k))
+            self._asked = (found, holds, params.k)
+            return found
+
+        return find
+
     def range_search(self, query: Sequence[float], radius: float, metric_aware: bool = False) -> DataFrame:
-        return S.range_search(self.rows, self._vector(query), radius, self._config.metric, metric_aware)
+        """All rows within the radius; an index leaves out only lists that can't have any."""
+        own = self._vector(query)
+        if radius > 0 and not (metric_aware and self._config.metric.higher_is_better):
+            found = self._fresh().query(own, SearchParams(radius=radius))
+        else:
+            found = S.range_search(self.rows, own, radius, self._config.metric, metric_aware)
+        self._asked = (found, None, None)
+        return found
 
     def filtered_search(self, query: Sequence[float], predicate: Column | Callable[[dict], bool], params: SearchParams | None = None, mode: str = "compat") -> DataFrame:
-        p = params or SearchParams()
-        return S.filtered(self.rows, self._vector(query), predicate, p.k, self._config.metric, mode, p.radius)
+        """``compat`` filters what the index finds; ``exact`` filters all rows first, and scans them."""
+        p, own = params or SearchParams(), self._vector(query)
+        holds = F.col("metadata").isNotNull() & S.condition(predicate)
+        if mode == "exact":
+            found = S.filtered(self.rows, own, predicate, p.k, self._config.metric, mode)
+            self._asked = (self.rows.filter(F.col("vector").isNotNull()), holds, p.k)
+            return found
+        return S.filtered(self.rows, own, predicate, p.k, self._config.metric, mode, find=self._finder(own, p, holds))
 
     def batch_filtered_search(self, queries: DataFrame, predicate: Column | Callable[[dict], bool], params: SearchParams | None = None, mode: str = "compat") -> DataFrame:
-        return S.filtered_batch(self.rows, queries, predicate, (params or SearchParams()).k, self._config.metric, mode, self._config.dimension)
+        p, dim = params or SearchParams(), self._config.dimension
+        find = lambda k: self._fresh().query_batch(queries, replace(p, k=k, include_metadata=True), dim)
+        return S.filtered_batch(self.rows, queries, predicate, p.k, self._config.metric, mode, dim, find)
 
     def search_with_metadata(self, query: Sequence[float], key: str, value: str, params: SearchParams | None = None, mode: str = "compat") -> DataFrame:
-        return S.by_metadata(self.rows, self._vector(query), key, value, (params or SearchParams()).k, self._config.metric, mode)
+        return self.filtered_search(query, F.element_at("metadata", key) == value, params, mode)
 
     def hybrid_search(self, query: Sequence[float], text: str = "", params: SearchParams | None = None, vector_weight: float = 0.7, text_weight: float = 0.3, metric_aware: bool = False) -> DataFrame:
-        p = params or SearchParams()
-        return S.hybrid(self.rows, self._vector(query), p.k, text, vector_weight, text_weight, self._config.metric, metric_aware, p.radius)
+        p, own = params or SearchParams(), self._vector(query)
+        return S.hybrid(self.rows, own, p.k, text, vector_weight, text_weight, self._config.metric, metric_aware, find=self._finder(own, p))
 
     def search_with_rerank(self, query: Sequence[float], rank: Callable[[Column], Column], params: SearchParams | None = None, rerank_k: int = S.RERANK_K, metric_aware: bool = False) -> DataFrame:
         """``rank`` makes a column of the metadata's; ``operators.search.ranking`` makes one of a Python function."""
-        p = params or SearchParams()
-        return S.reranked(self.rows, self._vector(query), rank, p.k, rerank_k, self._config.metric, metric_aware, p.radius)
+        p, own = params or SearchParams(), self._vector(query)
+        return S.reranked(self.rows, own, rank, p.k, rerank_k, self._config.metric, metric_aware, find=self._finder(own, p))
 
     def collect_results(self, found: DataFrame) -> list[tuple[int, float, Metadata]]:
         """A search's rows as a list, best first; takes the time that get_last_search_stats tells."""
         began = time.perf_counter()
         rows = [(r.id, r.score, dict(r.metadata or {})) for r in found.collect()]
         spent = (time.perf_counter() - began) * 1000
-        self._stats = replace(self._stats, total_candidates=self.size(), filtered_candidates=len(rows), final_results=len(rows), search_ms=spent, total_ms=spent)
+        self._stats = replace(self._stats, search_ms=spent, total_ms=spent)
         return rows
 
     def get_last_search_stats(self) -> SearchStats:
+        """Of the last search: the rows that it started from, those of them that its filter left, and its results.
+
+        Searches are plans, so the counts are worked out here, in one job; times are those of ``collect_results``.
+        """
+        if self._asked:
+            found, holds, k = self._asked
+            began = time.perf_counter()
+            counted = found.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.lit(True) if holds is None else F.coalesce(holds, F.lit(False))).alias("left")).first()
+            final = counted["left"] if k is None else min(k, counted["left"])
+            spent = (time.perf_counter() - began) * 1000 if holds is not None else 0.0
+            self._stats = replace(self._stats, total_candidates=counted["all"], filtered_candidates=counted["left"], final_results=final, filter_ms=spent)
+            self._asked = None
         return self._stats
 
     # Persistence
 
     def save(self, path: str) -> None:
-        snapshots.save(self.rows, self._config, self.next_id, path)
+        """Write the rows, the settings, and the index where it is up to date."""
+        snapshots.save(self.rows, self._config, self.next_id, path, self.strategy.save if self.is_trained() else None)
 
     def load(self, path: str) -> None:
-        """Replace this collection by a stored one, its settings included; nothing changes if that fails."""
-        rows, config, next_id = snapshots.load(self.spark, path)
+        """Replace this collection by a stored one, its settings and its index included; nothing changes if that fails."""
+        rows, config, next_id, index = snapshots.load(self.spark, path)
         strategy = self._new_strategy(config)
-        self.rows, self._config, self.next_id, self.strategy = rows, config, next_id, strategy
-        self.build_index()
+        if index:
+            strategy.load(self.spark, index)
+        else:
+            strategy.fit(rows)
+        self.rows, self._config, self.next_id, self.strategy, self._dirty = rows, config, next_id, strategy, False
 
 
 def create_database(spark: SparkSession, dimension: int | DatabaseConfig, index_type: IndexType | str = IndexType.AUTO, metric: DistanceMetric | str = DistanceMetric.L2, backend: str = "native", algorithm: str | None = None, **params: object) -> VectorDatabase | AnnAdapter:
@@ -304,10 +364,7 @@ class AnnAdapter:
 
     def build_index(self, vectors: object, metadata: Sequence[dict] | None = None) -> None:
         """Replace everything by these rows."""
-        rows = self._rows(vectors)
-        self.db.clear()
-        self.db.next_id = 0
-        self.db.add_batch(rows, self._strings(metadata))
+        self.db.replace_all(self._rows(vectors), self._strings(metadata))
         self.db.build_index()
 
     def add(self, vector: object, metadata: dict | None = None) -> int:
@@ -316,19 +373,32 @@ class AnnAdapter:
     def add_batch(self, vectors: object, metadata: Sequence[dict] | None = None) -> list[int]:
         return self.db.add_batch(self._rows(vectors), self._strings(metadata))
 
-    def search(self, query: object, k: int = 10, include_metadata: bool = True) -> DataFrame:
-        return self.db.search(self._rows(query)[0], k, include_metadata)
+    def _params(self, k: int, include_metadata: bool, given: dict[str, object]) -> SearchParams:
+        """A search's own parameters, by their names or the strategies' names for them."""
+        names = {"nprobe": "nprobe", "efSearch": "ef_search", "ef_search": "ef_search", "radius": "radius"}
+        if unknown := set(given) - set(names):
+            raise VectorEngineError(f"unknown search parameters: {sorted(unknown)}")
+        return SearchParams(k=k, include_metadata=include_metadata, **{names[n]: v for n, v in given.items()})
+
+    def search(self, query: object, k: int = 10, include_metadata: bool = True, **params: object) -> DataFrame:
+        return self.db.search(self._rows(query)[0], self._params(k, include_metadata, params))
 
-    def batch_search(self, queries: object, k: int = 10) -> DataFrame:
-        return self.db.batch_search(self._rows(queries), SearchParams(k=k))
+    def batch_search(self, queries: object, k: int = 10, include_metadata: bool = True, **params: object) -> DataFrame:
+        return self.db.batch_search(self._rows(queries), self._params(k, include_metadata, params))
 
     def save(self, path: str) -> None:
         self.db.save(path)
 
     def load(self, path: str) -> None:
-        _, config, _ = snapshots.load(self.db.spark, path)
-        if config.dimension != self.db.dimension() or config.metric != self.db.config().metric:
+        """Take over a stored collection of the same dimension, metric and algorithm; nothing changes otherwise."""
+        rows, config, next_id, _ = snapshots.load(self.db.spark, path)
+        own = self.db.config()
+        if config.dimension != own.dimension or config.metric != own.metric:
             raise ValueError("the stored collection has another dimension or metric")
+        if registry.factory(config.algorithm) is not registry.factory(own.algorithm):
+            raise ValueError(f"the stored collection is for {config.algorithm}")
+        if next_id < self.db.id_base or (last := rows.agg(F.max("id")).first()[0]) is not None and last >= next_id:
+            raise ValueError("the stored collection's next id is in use")
         self.db.load(path)
 
 
@@ -341,12 +411,17 @@ class StringIdBridge:
         self.db = db
 
     def add(self, ids: Sequence[str], vectors: Sequence[Sequence[float]], metadata: Sequence[dict] | None = None) -> None:
-        """Insert, or replace what has the same id."""
+        """Insert, or replace what has the same id; of a repeated id the last counts. Nothing changes where any row is bad."""
         fields = list(metadata or [{}] * len(ids))
         if not len(ids) == len(vectors) == len(fields):
             raise ValueError("ids, vectors and metadata must be of one length")
+        last = list({i: p for p, i in enumerate(ids)}.values())
+        own = [{str(k): str(v) for k, v in fields[p].items()} | {self.KEY: ids[p]} for p in last]
+        start = self.db.next_id
+        new, numbers = self.db._new_rows([vectors[p] for p in last], own, start)
         self.delete(ids)
-        self.db.add_batch(vectors, [{str(k): str(v) for k, v in m.items()} | {self.KEY: i} for i, m in zip(ids, fields, strict=True)])
+        if new is not None:
+            self.db._take_in(new, start + len(numbers))
 
     def _known(self, ids: Sequence[str]) -> DataFrame:
         return M.with_metadata(self.db.rows).filter(F.element_at("metadata", self.KEY).isin(list(ids))).select("id")

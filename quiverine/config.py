@@ -122,6 +122,7 @@ class Params(dict[str, str]):
 class SearchParams:
     k: int = 10
     nprobe: int | None = None
+    ef_search: int | None = None
     radius: float = -1.0
     include_metadata: bool = True
 

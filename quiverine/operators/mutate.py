@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quiverine.sources import shared
+
 SCHEMA = "id long, vector array<float>, metadata map<string,string>"
 
 
@@ -20,18 +22,16 @@ def number(new: DataFrame, order: str, start: int, path: str | None = None) -> D
     """(id, ...) with gapless ids from ``start`` in the order of a column.
 
     Ranges of the order are numbered apart, and each range's start is the sum of the
-    rows before it, so no task sees all rows. With a ``path`` the ranges are written
-    first and are not worked out twice.
+    rows before it, so no task sees all rows. The ranges are written first, to ``path``
+    or to the shared folder, and are not worked out twice.
     """
     spark = new.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = new.repartitionByRange(parts, order).sortWithinPartitions(order)
     own = ranged.withColumn("part_", F.spark_partition_id()).withColumn("place_", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    if path:
-        own.write.mode("overwrite").parquet(path)
-        own = spark.read.schema(own.schema).parquet(path)
-    else:
-        own = own.persist()
+    path = path or f"{shared.new_folder(spark, 'numbered')}/rows"
+    own.write.mode("overwrite").parquet(path)
+    own = spark.read.schema(own.schema).parquet(path)
     counts = {r.part_: r.n for r in own.groupBy("part_").agg(F.count(F.lit(1)).alias("n")).collect()}
     before, offsets = 0, []
     for p in sorted(counts):

@@ -19,23 +19,22 @@ from .tabular import fitted, unit
 
 #: Settings (fixed values).
 SIDE, BINS, DIMENSION, VIDEO_DIMENSION, MOST_FRAMES = 224, 32, 2048, 1024, 32
-#: First bytes of known formats: PNG, JPEG, BMP, TIFF (two), RIFF, ID3 (fixed values).
-MAGIC = ("89504E47", "FFD8", "424D", "4949", "4D4D", "52494646", "494433")
+#: First bytes of known formats (fixed values).
+MAGIC = {"png": ("89504E47",), "jpg": ("FFD8",), "bmp": ("424D",), "tiff": ("4949", "4D4D"), "riff": ("52494646",), "id3": ("494433",)}
 
 
-def has_known_magic(raw: Column, formats: Sequence[str] = ("jpg", "png", "bmp")) -> Column:
-    """Whether the payload begins like a known format; any does while formats are listed, as names aren't seen."""
-    if formats:
-        return F.lit(True)
-    start = F.hex(F.substring(raw, 1, 8))
-    known = F.lit(False)
-    for m in MAGIC:
-        known = known | start.startswith(m)
-    return known & (F.octet_length(raw) >= 4)
+def sniffed(raw: Column) -> Column:
+    """The format that a payload of at least four bytes begins like, or null."""
+    start, out = F.hex(F.substring(raw, 1, 4)), F.lit(None).cast("string")
+    for name, beginnings in MAGIC.items():
+        for own in beginnings:
+            out = F.when(start.startswith(own), name).otherwise(out)
+    return F.when(F.octet_length(raw) >= 4, out)
 
 
 def is_valid(raw: Column) -> Column:
-    return (F.octet_length(raw) > 0) & has_known_magic(raw)
+    """Not empty: a payload isn't held to its format before it is decoded."""
+    return F.octet_length(raw) > 0
 
 
 def decode(raw: bytes) -> np.ndarray:
@@ -63,27 +62,37 @@ def _png(raw: bytes) -> np.ndarray:
         raise ValueError("not a PNG image")
     channels = {0: 1, 2: 3, 4: 2, 6: 4}[kind]
     lines = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, 1 + width * channels)
-    out = np.zeros((height, width * channels), np.uint8)
-    above = np.zeros(width * channels, np.int64)
+    out = np.zeros((height, width, channels), np.uint8)
+    above = np.zeros((width, channels), np.uint8)
     for y in range(height):
-        rule, line = int(lines[y, 0]), lines[y, 1:].astype(np.int64)
-        if rule == 2:
-            line = (line + above) & 255
+        rule, line = int(lines[y, 0]), lines[y, 1:].reshape(width, channels)
+        if rule == 1:
+            line = np.cumsum(line, 0, dtype=np.uint8)
+        elif rule == 2:
+            line = line + above
         elif rule:
-            for x in range(len(line)):
-                left = line[x - channels] if x >= channels else 0
-                corner = above[x - channels] if x >= channels else 0
-                if rule == 1:
-                    guess = left
-                elif rule == 3:
-                    guess = (left + above[x]) // 2
-                else:
-                    p = left + above[x] - corner
-                    guess = min((left, above[x], corner), key=lambda v: abs(p - v))
-                line[x] = (line[x] + guess) & 255
-        out[y], above = line, line
-    pixels = out.reshape(height, width, channels)
-    return np.repeat(pixels[:, :, :1], 3, 2) if channels < 3 else pixels[:, :, 2::-1]
+            line = _from_the_left(rule, line, above)
+        out[y] = above = line
+    return np.repeat(out[:, :, :1], 3, 2) if channels < 3 else out[:, :, 2::-1]
+
+
+def _from_the_left(rule: int, line: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """A line of the rules that need each byte's left neighbour: channel by channel, in plain numbers."""
+    out = np.empty_like(line)
+    for c in range(line.shape[1]):
+        left = corner = 0
+        own = []
+        for value, up in zip(line[:, c].tolist(), above[:, c].tolist(), strict=True):
+            if rule == 3:
+                guess = (left + up) // 2
+            else:
+                p = left + up - corner
+                a, b, d = abs(p - left), abs(p - up), abs(p - corner)
+                guess = left if a <= b and a <= d else up if b <= d else corner
+            left, corner = (value + guess) & 255, up
+            own.append(left)
+        out[:, c] = own
+    return out
 
 
 def _bmp(raw: bytes) -> np.ndarray:

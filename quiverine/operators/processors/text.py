@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from quiverine.functions import vectors as V
+from pyspark.sql import types as T
 
 #: Longer tokens are cut into chunks (fixed values).
 LONG_TOKEN, CHUNK, DIMENSION = 12, 6, 768
@@ -24,24 +30,66 @@ def bucket(token: Column, buckets: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
 
 
+class Buckets:
+    """The buckets of tokens by a hash table of bounded size; the same tokens and hashes as ``tokens`` and ``bucket``."""
+
+    MOST = 1_000_000
+    WORD = re.compile(rb"[a-z0-9_]+")
+
+    def __init__(self, dim: int, cut_long: bool = True) -> None:
+        self.dim, self.cut_long = dim, cut_long
+        self.known: dict[bytes, int] = {}
+
+    def _bucket(self, token: bytes) -> int:
+        if len(self.known) >= self.MOST:
+            self.known.clear()
+        return self.known.setdefault(token, int(md5(token).hexdigest()[:8], 16) % self.dim)
+
+    def sums(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets that a text has, ascending, and their weights, normalised."""
+        found = self.WORD.findall(text.encode("utf-8", "surrogatepass").lower())
+        if self.cut_long and any(len(t) > LONG_TOKEN for t in found):
+            found = [c for t in found for c in ([t] if len(t) <= LONG_TOKEN else [t[i : i + CHUNK] for i in range(0, len(t), CHUNK)])]
+        get, make = self.known.get, self._bucket
+        own = np.fromiter((b if (b := get(t)) is not None else make(t) for t in found), np.int64, len(found))
+        weight = np.bincount(own, 1.0 + 0.1 * np.fromiter(map(len, found), float, len(found)), self.dim) if len(found) else np.zeros(self.dim)
+        there = np.flatnonzero(weight)
+        return there, weight[there] / np.sqrt((weight[there] ** 2).sum())
+
+
 def weighted_buckets(docs: DataFrame, id_col: str, text_col: str, dim: int = DIMENSION) -> DataFrame:
-    """(id, bucket, weight) of each text's bag of tokens, normalised; the sparse form of its embedding."""
-    token = docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("token"))
-    summed = token.groupBy(id_col, bucket(F.col("token"), dim).alias("bucket")).agg(F.sum(F.lit(1.0) + 0.1 * F.length("token")).alias("weight"))
-    size = summed.groupBy(id_col).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("size"))
-    return summed.join(size, id_col).select(id_col, "bucket", (F.col("weight") / F.col("size")).alias("weight"))
+    """(id, bucket, weight) of each text's bag of tokens, normalised; the sparse form of its embedding. Nothing is shuffled."""
+    schema = T.StructType([docs.schema[id_col], T.StructField("bucket", T.IntegerType()), T.StructField("weight", T.DoubleType())])
 
+    def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Buckets(dim)
+        for batch in rows:
+            found = [own.sums(t) if t else (np.zeros(0, np.int64), np.zeros(0)) for t in batch.column(text_col).to_pylist()]
+            if not found:
+                continue
+            of = pa.array(np.repeat(np.arange(len(found)), [len(b) for b, _ in found]))
+            columns = [batch.column(id_col).take(of), pa.array(np.concatenate([b for b, _ in found]).astype(np.int32)), pa.array(np.concatenate([w for _, w in found]))]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "bucket", "weight"])
 
-def embedding(text: Column, dim: int = DIMENSION, cut_long: bool = True) -> Column:
-    """The embedding as a dense vector; zeros for a text without tokens."""
-    pairs = F.transform(tokens(text, cut_long), lambda t: F.struct(bucket(t, dim).alias("b"), (F.lit(1.0) + 0.1 * F.length(t)).alias("w")))
+    return docs.select(id_col, text_col).mapInArrow(work, schema)
 
-    def sums(p: Column) -> Column:
-        buckets = F.array_distinct(F.transform(p, lambda x: x["b"]))
-        return F.map_from_arrays(buckets, F.transform(buckets, lambda b: V.total(F.transform(F.filter(p, lambda x: x["b"] == b), lambda x: x["w"]))))
 
-    dense = V.let(V.let(pairs, sums), lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))))
-    return V.normalized(dense)
+def embedding(text: Column, dim: int = DIMENSION, cut_long: bool = True) -> Column:
+    """The embedding as a dense vector; zeros for a text without tokens, null for none."""
+
+    @F.pandas_udf("array<double>")
+    def embed(part: pd.Series) -> pd.Series:
+        own, out = Buckets(dim, cut_long), []
+        for t in part:
+            dense = None
+            if t is not None:
+                dense = np.zeros(dim)
+                there, weight = own.sums(t)
+                dense[there] = weight
+            out.append(dense)
+        return pd.Series(out, dtype=object)
+
+    return embed(text)
 
 
 def process(raw: Column) -> Column:

@@ -7,8 +7,10 @@ expression, so that a search is one scan with a bounded top-k in each partition.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,9 +21,12 @@ from quiverine.functions import vectors as V
 
 #: Over-fetch of the composite searches (fixed values).
 FILTER_FACTOR, FILTER_MOST, HYBRID_FACTOR, RERANK_K, RANGE_MOST = 10, 1000, 2, 100, 10_000
-#: A batch of this many queries at most is broadcast; larger ones are dealt out in cells.
-BROADCAST_QUERIES = 10_000
-CELLS = 32
+#: Queries that go to every task at once, by number and by bytes; larger batches go over the rows in several passes.
+BROADCAST_QUERIES, BROADCAST_BYTES = 10_000, 32 << 20
+#: Sums of products in another order may differ by so much, for each unit of the norms' product.
+ROUNDING = 1e-12
+#: How the over-fetched rows of a composite search are found: the best so many, as (id, score, metadata).
+Find = Callable[[int], DataFrame]
 
 
 def condition(predicate: Column | Callable[[dict], bool]) -> Column:
@@ -71,7 +76,7 @@ def range_search(rows: DataFrame, query: Sequence[float], radius: float, metric:
     return knn(rows, query, RANGE_MOST, metric).filter(F.col("score") <= radius)
 
 
-def filtered(rows: DataFrame, query: Sequence[float], predicate: Column | Callable[[dict], bool], k: int = 10, metric: DistanceMetric = DistanceMetric.L2, mode: str = "compat", radius: float = -1.0) -> DataFrame:
+def filtered(rows: DataFrame, query: Sequence[float], predicate: Column | Callable[[dict], bool], k: int = 10, metric: DistanceMetric = DistanceMetric.L2, mode: str = "compat", radius: float = -1.0, find: Find | None = None) -> DataFrame:
     """The best rows that have metadata and satisfy ``predicate``, a condition on ``metadata``.
 
     ``compat`` filters the best 10k rows (1000 at most), and may find fewer than there
@@ -80,21 +85,22 @@ def filtered(rows: DataFrame, query: Sequence[float], predicate: Column | Callab
     holds = F.col("metadata").isNotNull() & condition(predicate)
     if mode == "exact":
         return knn(rows.filter(holds), query, k, metric)
-    found = candidates(rows, query, min(FILTER_FACTOR * k, FILTER_MOST), metric, radius)
+    most = min(FILTER_FACTOR * k, FILTER_MOST)
+    found = find(most) if find else candidates(rows, query, most, metric, radius)
     return found.filter(holds).orderBy(*best_first(metric)).limit(k)
 
 
-def by_metadata(rows: DataFrame, query: Sequence[float], key: str, value: str, k: int = 10, metric: DistanceMetric = DistanceMetric.L2, mode: str = "compat") -> DataFrame:
-    return filtered(rows, query, F.element_at("metadata", key) == value, k, metric, mode)
+def by_metadata(rows: DataFrame, query: Sequence[float], key: str, value: str, k: int = 10, metric: DistanceMetric = DistanceMetric.L2, mode: str = "compat", find: Find | None = None) -> DataFrame:
+    return filtered(rows, query, F.element_at("metadata", key) == value, k, metric, mode, find=find)
 
 
-def hybrid(rows: DataFrame, query: Sequence[float], k: int = 10, text: str = "", vector_weight: float = 0.7, text_weight: float = 0.3, metric: DistanceMetric = DistanceMetric.L2, metric_aware: bool = False, radius: float = -1.0) -> DataFrame:
+def hybrid(rows: DataFrame, query: Sequence[float], k: int = 10, text: str = "", vector_weight: float = 0.7, text_weight: float = 0.3, metric: DistanceMetric = DistanceMetric.L2, metric_aware: bool = False, radius: float = -1.0, find: Find | None = None) -> DataFrame:
     """The best 2k rows, re-ordered by weighted scores that a text hit in any metadata value lowers.
 
     Without a text, the best ``k`` with their own scores. ``metric_aware`` raises hits
     and sorts downwards for inner products.
     """
-    found = candidates(rows, query, HYBRID_FACTOR * k, metric, radius)
+    found = find(HYBRID_FACTOR * k) if find else candidates(rows, query, HYBRID_FACTOR * k, metric, radius)
     bare = F.lit(None).cast("map<string,string>").alias("metadata")
     if not text:
         return found.orderBy(*best_first(metric)).limit(k).select("id", "score", bare)
@@ -106,24 +112,151 @@ def hybrid(rows: DataFrame, query: Sequence[float], k: int = 10, text: str = "",
     return again.orderBy(F.desc("score") if upward else F.asc("score"), "id").limit(k).select("id", "score", bare)
 
 
-def reranked(rows: DataFrame, query: Sequence[float], rank: Callable[[Column], Column], k: int = 10, rerank_k: int = RERANK_K, metric: DistanceMetric = DistanceMetric.L2, metric_aware: bool = False, radius: float = -1.0) -> DataFrame:
+def reranked(rows: DataFrame, query: Sequence[float], rank: Callable[[Column], Column], k: int = 10, rerank_k: int = RERANK_K, metric: DistanceMetric = DistanceMetric.L2, metric_aware: bool = False, radius: float = -1.0, find: Find | None = None) -> DataFrame:
     """The best ``rerank_k`` rows, by 0.7 of their score and 0.3 of what ``rank`` makes of their metadata."""
-    found = candidates(rows, query, rerank_k, metric, radius)
+    found = find(rerank_k) if find else candidates(rows, query, rerank_k, metric, radius)
     metadata = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
     again = found.withColumn("score", 0.7 * F.col("score") + 0.3 * rank(metadata).cast("double"))
     return again.orderBy(F.desc("score") if metric_aware and metric.higher_is_better else F.asc("score"), "id").limit(k)
 
 
-def pairs(rows: DataFrame, queries: DataFrame, metric: DistanceMetric, dim: int | None) -> DataFrame:
-    """All (query, row) scores. A small batch is broadcast; a large one is dealt out in cells that the rows visit."""
-    stored = rows.filter(F.col("vector").isNotNull()).select("id", "vector", "metadata")
-    asked = queries.select("query_id", F.col("vector").alias("query"))
-    if asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        both = stored.crossJoin(F.broadcast(asked))
-    else:
-        left = stored.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
-        both = left.join(asked.withColumn("cell", F.pmod(F.xxhash64("query_id"), F.lit(CELLS)).cast("int")), "cell")
-    return both.select("query_id", "id", V.distance(metric, F.col("vector"), F.col("query"), dim).alias("score"), "metadata")
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if len(flat) and (np.diff(flat.offsets.to_numpy()) != dim).any():
+        raise VectorEngineError(f"dimension mismatch: expected {dim}")
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _sums(a: np.ndarray, b: np.ndarray, term: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """A term's sum over the components of pairs of rows, from the left, as the column expressions add it up."""
+    out = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        out += term(a[:, d], b[:, d])
+    return out
+
+
+def exact_scores(q: np.ndarray, x: np.ndarray, metric: DistanceMetric) -> np.ndarray:
+    """The score of each pair of rows."""
+    product = lambda u, v: u * v
+    if metric is DistanceMetric.L2:
+        return np.sqrt(_sums(x, q, lambda u, v: (u - v) * (u - v)))
+    dot = _sums(x, q, product)
+    if metric is DistanceMetric.INNER_PRODUCT:
+        return dot
+    size = np.sqrt(_sums(x, x, product)) * np.sqrt(_sums(q, q, product))
+    return np.where(size == 0, 1.0, 1 - dot / np.where(size == 0, 1.0, size))
+
+
+def best_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, metric: DistanceMetric) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the query, row id, score) of each query's ``k`` best rows, best first, ties by id.
+
+    A matrix product finds which rows can be among the best, within what rounding may change; their scores are then exact.
+    """
+    unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1.0)
+    a, b = (unit(q), unit(x)) if metric is DistanceMetric.COSINE else (q, x)
+    square = (b * b).sum(1)
+    bound = np.sqrt(square.max()) if len(b) else 0.0
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, len(a), 128):
+        own = a[at : at + 128]
+        near = own @ b.T
+        if metric is DistanceMetric.L2:
+            near = 2 * near - square
+        sizes = np.sqrt((own * own).sum(1))
+        if len(x) > k:
+            least = np.partition(near, len(x) - k, axis=1)[:, len(x) - k] - 8 * ROUNDING * (bound * sizes + bound * bound + sizes * sizes + 1e-300)
+        else:
+            least = np.full(len(own), -np.inf)
+        i, j = np.nonzero(near >= least[:, None])
+        score = exact_scores(q[at : at + 128][i], x[j], metric)
+        best = np.lexsort((ids[j], -score if metric.higher_is_better else score, i))
+        i, j, score = i[best], j[best], score[best]
+        keep = np.arange(len(i)) - np.searchsorted(i, np.arange(len(own)))[i] < k
+        out.append((i[keep] + at, ids[j[keep]], score[keep]))
+    return tuple(np.concatenate(p) for p in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # type: ignore[return-value]
+
+
+def _pass(rows: DataFrame, asked: pa.Table, k: int, metric: DistanceMetric) -> DataFrame:
+    """One pass over the rows: each task keeps the best ``k`` rows of each query, and passes them on at its end."""
+    dim = len(asked["query"][0])
+    q, query_ids = _matrix(asked["query"], dim), asked["query_id"]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def settled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            i, ids, score = (np.concatenate(p) for p in zip(*held, strict=True))
+            order = np.lexsort((ids, -score if metric.higher_is_better else score, i))
+            i, ids, score = i[order], ids[order], score[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, np.arange(len(q)))[i] < k
+            return i[keep], ids[keep], score[keep]
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(best_of(q, _matrix(batch.column("vector"), dim), batch.column("id").to_numpy(), k, metric))
+                held = [settled()]
+        if held:
+            i, ids, score = held[0]
+            yield pa.RecordBatch.from_arrays([query_ids.combine_chunks().take(pa.array(i)), pa.array(ids), pa.array(score)], names=["query_id", "id", "score"])
+
+    stored = rows.filter(F.col("vector").isNotNull()).select("id", "vector")
+    return stored.mapInArrow(best, "query_id long, id long, score double")
+
+
+def best_rows(rows: DataFrame, queries: DataFrame, k: int, metric: DistanceMetric) -> DataFrame:
+    """The ``k`` best rows of each query (query_id, vector): query_id, rank, id, score.
+
+    The queries come to the driver in blocks of bounded size, and each block is one pass over the rows: vectors
+    meet as matrices, and k rows for each query are all that leaves a task.
+    """
+    asked = queries.select(F.col("query_id").cast("long"), F.transform("vector", lambda v: v.cast("double")).alias("query")).filter(F.col("query").isNotNull())
+    spark, found = rows.sparkSession, None
+    blocks: list[pa.RecordBatch] = []
+    held = count = 0
+
+    def take() -> None:
+        nonlocal found, held, count
+        one = _pass(rows, pa.Table.from_batches(blocks), k, metric)
+        found = one if found is None else found.unionByName(one)
+        blocks.clear()
+        held = count = 0
+
+    for r in _arrow_blocks(asked):
+        blocks.append(r)
+        held, count = held + r.nbytes, count + r.num_rows
+        if count >= BROADCAST_QUERIES or held >= BROADCAST_BYTES:
+            take()
+    if blocks:
+        take()
+    if found is None:
+        found = spark.createDataFrame([], "query_id long, id long, score double")
+    return ranked(found, k, metric)
+
+
+def _arrow_blocks(asked: DataFrame) -> Iterator[pa.RecordBatch]:
+    """The rows of a table in blocks; the driver holds those of one partition at a time."""
+    names = asked.schema
+    held: list[tuple[int, list[float]]] = []
+    step = max(1, min(BROADCAST_QUERIES, 4096))
+
+    def block() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.list_(pa.float64()))], names=names.names)
+
+    for r in asked.toLocalIterator(prefetchPartitions=True):
+        held.append((r[0], r[1]))
+        if len(held) >= step:
+            yield block()
+            held = []
+    if held:
+        yield block()
+
+
+def described(found: DataFrame, rows: DataFrame, metadata: bool = True) -> DataFrame:
+    """The results with their rows' metadata, which only the survivors of the ranking are joined to."""
+    columns = ["query_id", "rank", "id", "score"]
+    if not metadata:
+        return found.select(*columns, F.lit(None).cast("map<string,string>").alias("metadata"))
+    return found.select(*columns).join(rows.select("id", "metadata"), "id").select(*columns, "metadata")
 
 
 def ranked(found: DataFrame, k: int, metric: DistanceMetric) -> DataFrame:
@@ -132,14 +265,15 @@ def ranked(found: DataFrame, k: int, metric: DistanceMetric) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(over)).filter(F.col("rank") <= k)
 
 
-def knn_batch(rows: DataFrame, queries: DataFrame, k: int = 10, metric: DistanceMetric = DistanceMetric.L2, dim: int | None = None) -> DataFrame:
+def knn_batch(rows: DataFrame, queries: DataFrame, k: int = 10, metric: DistanceMetric = DistanceMetric.L2, dim: int | None = None, metadata: bool = True) -> DataFrame:
     """The ``k`` best rows of each query (query_id, vector): query_id, rank, id, score, metadata."""
-    return ranked(pairs(rows, queries, metric, dim), k, metric).select("query_id", "rank", "id", "score", "metadata")
+    return described(best_rows(rows, queries, k, metric), rows.filter(F.col("vector").isNotNull()), metadata)
 
 
-def filtered_batch(rows: DataFrame, queries: DataFrame, predicate: Column | Callable[[dict], bool], k: int = 10, metric: DistanceMetric = DistanceMetric.L2, mode: str = "compat", dim: int | None = None) -> DataFrame:
+def filtered_batch(rows: DataFrame, queries: DataFrame, predicate: Column | Callable[[dict], bool], k: int = 10, metric: DistanceMetric = DistanceMetric.L2, mode: str = "compat", dim: int | None = None, find: Find | None = None) -> DataFrame:
     holds = F.col("metadata").isNotNull() & condition(predicate)
     if mode == "exact":
         return knn_batch(rows.filter(holds), queries, k, metric, dim)
-    first = ranked(pairs(rows, queries, metric, dim), min(FILTER_FACTOR * k, FILTER_MOST), metric).drop("rank")
+    most = min(FILTER_FACTOR * k, FILTER_MOST)
+    first = (find(most) if find else knn_batch(rows, queries, most, metric, dim)).drop("rank")
     return ranked(first.filter(holds), k, metric).select("query_id", "rank", "id", "score", "metadata")

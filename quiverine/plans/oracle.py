@@ -78,7 +78,7 @@ ORACLE_SQL |= {
     "hybrid_ip_compat": f"{scored('ip')} SELECT vec_id, round(sc2, 6) AS score FROM ({_hybrid.format(hit=_odd, factor='0.7', found=top('ip', 20))}) ORDER BY sc2, vec_id LIMIT 10",
     "hybrid_ip_metric_aware": f"{scored('ip')} SELECT vec_id, round(sc2, 6) AS score FROM ({_hybrid.format(hit=_odd, factor='1 / 0.7', found=top('ip', 20))}) ORDER BY sc2 DESC, vec_id LIMIT 10",
     "rerank_knn": f"{scored()} SELECT vec_id, round(sc2, 6) AS score FROM (SELECT vec_id, 0.7 * sc + 0.3 * (label / 10) AS sc2 FROM ({top('l2', 100)})) ORDER BY sc2, vec_id LIMIT 10",
-    "search_stats": f"{scored()} SELECT count(*) AS total_candidates, least(count(*) FILTER (lab = '3'), 10) AS final_results FROM ({top('l2', 100)})",
+    "search_stats": f"{scored()} SELECT count(*) AS total_candidates, count(*) FILTER (lab = '3') AS filtered_candidates, least(count(*) FILTER (lab = '3'), 10) AS final_results FROM ({top('l2', 100)})",
     "find_eq": f"WITH {ROWS} SELECT vec_id FROM e WHERE lab = '3'",
     "find_prefix": f"WITH {ROWS} SELECT vec_id FROM e WHERE starts_with(name, 'item_1')",
     "find_prefix_empty": "SELECT vec_id FROM embeddings",
@@ -122,6 +122,12 @@ ORACLE_SQL |= {
     "ts_window_means": f"WITH {SERIES}, m AS (SELECT user_id, i, avg(x) OVER w AS val, count(*) OVER w AS n FROM ser WINDOW w AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) SELECT user_id, CAST(i // 3 AS INTEGER) AS pos, round(val, 5) AS val FROM m WHERE n = 5 AND i % 3 = 0",
     "ts_dft": f"WITH {SERIES}, n AS (SELECT user_id, least(count(*), 256) AS n FROM ser GROUP BY user_id), k AS (SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS pos, k FROM (SELECT unnest([1, 2, 3, 4, 5, 6, 8, 12, 16, 24, 32, 48, 64]) AS k)) SELECT user_id, pos, round(sqrt(sum(x * cos(2 * pi() * k * i / n)) ** 2 + sum(x * sin(2 * pi() * k * i / n)) ** 2), 4) AS val FROM ser JOIN n USING (user_id), k WHERE n >= 16 AND k < n AND i < n GROUP BY user_id, pos",
     "ivf_all_lists": f"{pairs('l2')} {batch('l2', 10)}",
+    "hnsw_all_lists": f"{pairs('l2').replace('b.vec_id < 10', 'b.vec_id % 20 = 0')} {batch('l2', 10)}",
+    "pq_all_refined": f"{pairs('l2').replace('b.vec_id < 10', 'b.vec_id % 20 = 0')} {batch('l2', 10)}",
+    "lsh_one_bucket": f"{pairs('l2').replace('b.vec_id < 10', 'b.vec_id % 20 = 0')} {batch('l2', 10)}",
+    "ivf_range": f"{scored()} {SHOWN} FROM s WHERE sc <= 1.3",
+    "ivf_filtered_all_lists": f"{scored()} {SHOWN} FROM (SELECT * FROM ({top('l2', 100)}) WHERE lab = '3' ORDER BY sc, vec_id LIMIT 10)",
+    "ivf_save_load": f"{scored()} {SHOWN} FROM ({top('l2', 10)})",
     "database_search": f"{scored()} {SHOWN} FROM ({top('l2', 10)})",
     "rank_within_label": f"{scored()} SELECT lab AS label, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, round(sc, 6) AS score FROM s WINDOW w AS (PARTITION BY lab ORDER BY sc, vec_id) QUALIFY row_number() OVER w <= 3",
 }

@@ -20,6 +20,7 @@ from quiverine.operators import mutate, search
 from quiverine.operators.fusion import FusionEngine, bilinear
 from quiverine.operators.index import registry
 from quiverine.operators.processors import tabular, text, timeseries
+from quiverine.sources import shared
 
 L2, IP, COSINE = DistanceMetric.L2, DistanceMetric.INNER_PRODUCT, DistanceMetric.COSINE
 DIM = 64
@@ -154,11 +155,12 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("search_stats")
 def _(s: SparkSession, d: str) -> DataFrame:
-    """Counts of a filtered search: all candidates, those left by the filter, and results."""
-    held = F.element_at("metadata", "label") == "3"
-    found = search.knn(collection(s, d), first_vector(s, d), 100, L2)
-    counted = found.agg(F.count(F.lit(1)).alias("total_candidates"), F.count_if(held).alias("matching"))
-    return counted.select("total_candidates", F.least("matching", F.lit(10).cast("long")).alias("final_results"))
+    """Counts of a filtered search: what it started from, what the filter left, and its results."""
+    db = VectorDatabase.from_dataframe(collection(s, d), DatabaseConfig(dimension=DIM), metadata=F.col("metadata"))
+    db.filtered_search(first_vector(s, d), F.element_at("metadata", "label") == "3", SearchParams(k=10))
+    told = db.get_last_search_stats()
+    counts = [(told.total_candidates, told.filtered_candidates, told.final_results)]
+    return s.createDataFrame(counts, "total_candidates long, filtered_candidates long, final_results long")
 
 
 # Metadata
@@ -276,15 +278,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 @query("save_load")
 def _(s: SparkSession, d: str) -> DataFrame:
     """The collection saved and loaded again, then searched."""
-    import tempfile
-    import uuid
-
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not s.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.gettempdir()}"
-    path = f"{base.rstrip('/')}/collection-{uuid.uuid4().hex[:12]}"
+    path = f"{shared.new_folder(s, 'collection')}/saved"
     config = DatabaseConfig(dimension=DIM, metric=COSINE)
     VectorDatabase.from_dataframe(collection(s, d), config, metadata=F.col("metadata")).save(path)
     again = VectorDatabase(s, DatabaseConfig(dimension=4))
@@ -371,7 +365,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("fuse_tensor_small")
 def _(s: SparkSession, d: str) -> DataFrame:
-    """Quarters of vectors, whose outer product is no longer than the target."""
+    """The first two eighths of vectors, whose outer product is no longer than the target."""
     rows = table(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("text_half"), F.slice("embedding", 9, 8).alias("image_half"))
     fused = FusionEngine().batch_fuse(rows, HALVES, FusionParams(Fusion.TENSOR_FUSION), {Modality.TEXT: 8, Modality.IMAGE: 8})
     return components(fused, "vec_id", "fused")
@@ -518,6 +512,53 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return shown(_strategy(s, d, "lsh").query(first_vector(s, d), SearchParams(k=10)))
 
 
+@query("hnsw_all_lists")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return shown_batch(_strategy(s, d, "hnsw", nlist=16).query_batch(every_twentieth(s, d), SearchParams(k=10, nprobe=16), DIM))
+
+
+@query("pq_all_refined")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """All lists, and as many codes refined as there can be rows: what codes cut off then is nothing."""
+    strategy = _strategy(s, d, "ivf_pq", nlist=16, m=16, nbits=4, refine=1_000_000)
+    return shown_batch(strategy.query_batch(every_twentieth(s, d), SearchParams(k=10, nprobe=16), DIM))
+
+
+@query("lsh_one_bucket")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Buckets so wide that all vectors share those of some table."""
+    return shown_batch(_strategy(s, d, "lsh", width=1e6).query_batch(every_twentieth(s, d), SearchParams(k=10), DIM))
+
+
+def _indexed(s: SparkSession, d: str, **query_params: object) -> VectorDatabase:
+    config = DatabaseConfig(dimension=DIM, algorithm="ivf_flat", build_params={"nlist": 16}, query_params=query_params)
+    return VectorDatabase.from_dataframe(collection(s, d), config, metadata=F.col("metadata"))
+
+
+@query("ivf_range")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """A range through the index: only lists that can't reach it are left out."""
+    return shown(_indexed(s, d).range_search(first_vector(s, d), 1.3))
+
+
+@query("ivf_filtered_all_lists")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """A filtered search through the index, with all lists."""
+    return shown(_indexed(s, d, nprobe=16).filtered_search(first_vector(s, d), F.element_at("metadata", "label") == "3", SearchParams(k=10)))
+
+
+@query("ivf_save_load")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The index saved with its collection, loaded without fitting, and searched through all lists."""
+    path = f"{shared.new_folder(s, 'collection')}/saved"
+    own = _indexed(s, d, nprobe=16)
+    own.build_index()
+    own.save(path)
+    again = VectorDatabase(s, DatabaseConfig(dimension=4))
+    again.load(path)
+    return shown(again.search(first_vector(s, d), 10))
+
+
 @query("database_search")
 def _(s: SparkSession, d: str) -> DataFrame:
     """The database API over the table, with the default strategy."""

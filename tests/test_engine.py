@@ -164,24 +164,23 @@ def test_approximate_recall(spark, name, least):
         assert found(everything) == found(exact.search(x[0], 10))
 
 
-def recall(search_one, asked, x, k=10):
-    """Of the ``k`` nearest of each asked row, against brute force."""
-    hits = 0
-    for i in asked:
-        near = np.lexsort((np.arange(len(x)), ((x - x[i]) ** 2).sum(1)))[:k]
-        hits += len({r.id for r in search_one(x[i].tolist()).collect()} & set(near.tolist()))
-    return hits / (k * len(asked))
-
-
-@pytest.mark.parametrize(("name", "params"), [("ivf_flat", {"nlist": 16}), ("ivf_flat", {}), ("ivf_pq", {"nlist": 16, "m": 16, "nbits": 6}), ("ivf_pq", {}), ("lsh", {})])
-def test_recall_on_embeddings(spark, sf, name, params):
-    rows = queries.collection(spark, sf).cache()
-    found = rows.orderBy("id").toPandas()
+@pytest.mark.parametrize(("name", "params"), [("ivf_flat", {"nlist": 16}), ("ivf_flat", {}), ("ivf_pq", {"nlist": 16, "m": 16, "nbits": 6}), ("ivf_pq", {}), ("lsh", {}), ("hnsw", {})])
+def test_recall_on_embeddings(spark, name, params):
+    """100 queries, as the registered index queries ask, against brute force over the whole table."""
+    rows = queries.collection(spark, "/root/testdata/sf0.1")
+    found = rows.select("id", "vector").orderBy("id").toPandas()
     assert found.id.tolist() == list(range(len(found)))
+    x = np.stack(found.vector).astype(float)
     strategy = registry.create(name, L2, params)
     strategy.fit(rows)
-    asked = [i for i in found.id if i % 20 == 0]
-    assert recall(lambda q: strategy.query(q, SearchParams(k=10)), asked, np.stack(found.vector).astype(float)) >= 0.9
+    asked = rows.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    got = {(r.query_id, r.id) for r in strategy.query_batch(asked, SearchParams(k=10, include_metadata=False), 64).collect()}
+    want = {(i, int(j)) for i in range(0, len(x), 20) for j in np.argsort(((x - x[i]) ** 2).sum(1), kind="stable")[:10]}
+    assert len(want) == 1000 and len(got & want) / len(want) >= 0.9
+    single = [r.id for r in strategy.query(x[0].tolist(), SearchParams(k=10)).collect()]
+    assert set(single) == {j for i, j in got if i == 0}
+    plan = strategy.query(x[0].tolist(), SearchParams(k=10))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 @pytest.mark.parametrize("metric", [L2, IP, COSINE])
@@ -214,6 +213,103 @@ def test_batches_use_the_method(spark, name, params, metric):
     assert by_query(strategy) == single != by_query(exact)
 
 
+@pytest.mark.parametrize(("name", "params"), [("ivf_flat", {"nlist": 4}), ("ivf_pq", {"nlist": 4, "m": 4, "nbits": 4}), ("lsh", {"tables": 4}), ("hnsw", {"nlist": 4, "efSearch": 30})])
+def test_indexes_are_saved_with_their_collections(spark, tmp_path, monkeypatch, name, params):
+    x = np.random.default_rng(5).standard_normal((120, 8)).astype("float32").astype(float)
+    db = database(spark, x.tolist(), [{"n": str(i)} for i in range(120)], algorithm=name, build_params=params)
+    db.build_index()
+    for i in range(3):
+        db.add((x[i] + 0.001).tolist(), {"n": "new"})
+    before = found(db.search(x[0], 8))
+    db.save(str(tmp_path / "c"))
+    again = VectorDatabase(spark, DatabaseConfig(dimension=2))
+    monkeypatch.setattr(type(db.strategy), "fit", lambda *a: pytest.fail("fitted anew"))
+    again.load(str(tmp_path / "c"))
+    assert again.is_trained() and found(again.search(x[0], 8)) == before and again.strategy.stats()["rows"] == 123 and again.strategy.stats()["bytes"] > 0
+    assert {r.id for r in again.search((x[0] + 0.001).tolist(), 2).collect()} == {1, 121}
+    other = registry.create("lsh" if name != "lsh" else "ivf_flat", L2)
+    with pytest.raises(VectorEngineError, match="stored index"):
+        other.load(spark, str(tmp_path / "c" / "index-1"))
+
+
+def test_lists_out_of_reach_are_not_read(spark):
+    """A range through the index finds what exact search finds, and leaves lists out; also among rows added later."""
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.standard_normal((8, 8)) * 5, 20, 0) + 0.1 * rng.standard_normal((160, 8))
+    for metric, radius in ((L2, 1.0), (COSINE, 0.01)):
+        near = database(spark, x.tolist(), metric=metric, algorithm="ivf_flat", build_params={"nlist": 8})
+        near.build_index()
+        near.add((x[0] * 1.01).tolist())
+        exact = search.in_range(near.rows, near._vector(x[0]), radius, metric)
+        assert sorted(found(near.range_search(x[0], radius))) == sorted(found(exact)) and (161, 0) in {(i, 0) for i, _ in found(exact)}
+        assert near.strategy.reach(near._vector(x[0]), radius).count() < 100
+
+
+def test_composite_searches_go_through_the_index(spark):
+    x = np.random.default_rng(7).standard_normal((100, 4)).tolist()
+    meta = [{"m": str(i % 4), "t": "hit" if i % 3 == 0 else ""} for i in range(100)]
+    few = {"algorithm": "ivf_flat", "build_params": {"nlist": 10}, "query_params": {"nprobe": 1}}
+    near, exact = database(spark, x, meta, **few), database(spark, x, meta)
+    inside = near._fresh().candidates(near._vector(x[0]), SearchParams(k=5)).count()
+    assert 0 < inside < 60 and near.strategy.probes(SearchParams(k=5)) == 1
+    p = SearchParams(k=5)
+    assert near.filtered_search(x[0], F.element_at("metadata", "m") == "1", p).count() <= 5
+    told = near.get_last_search_stats()
+    assert (told.total_candidates, told.final_results) == (min(inside, 50), min(told.filtered_candidates, 5)) and told.filtered_candidates < told.total_candidates
+    near.hybrid_search(x[0], "hit", p)
+    assert near.get_last_search_stats().total_candidates == min(inside, 10)
+    near.search_with_rerank(x[0], lambda m: F.length(F.element_at(m, "t")), p)
+    assert near.get_last_search_stats().total_candidates == inside
+    exact.filtered_search(x[0], F.element_at("metadata", "m") == "1", p, "exact")
+    told = exact.get_last_search_stats()
+    assert (told.total_candidates, told.filtered_candidates, told.final_results) == (100, 25, 5)
+    wide = SearchParams(k=5, nprobe=10)
+    assert found(near.hybrid_search(x[0], "hit", wide)) == found(exact.hybrid_search(x[0], "hit", p))
+    batch = lambda db, q: sorted((r.query_id, r.id) for r in db.batch_filtered_search(spark.createDataFrame([(i, v) for i, v in enumerate(x[:4])], "query_id long, vector array<float>"), F.element_at("metadata", "m") == "1", q).collect())
+    assert batch(near, wide) == batch(exact, p)
+
+
+def test_failed_changes_lose_nothing(spark, tmp_path):
+    b = StringIdBridge(VectorDatabase(spark, DatabaseConfig(dimension=2)))
+    b.add(["x", "y", "x"], [[0, 0], [1, 1], [5, 5]], [{}, {}, {"c": 1}])
+    own = create_database(spark, 2, backend="anns", algorithm="ivf_flat", nlist=2)
+    own.build_index([[0, 0], [1, 1]], [{"a": 1}, {"a": 2}])
+    state = lambda db: (sorted((r.id, r.vector, r.metadata) for r in db.rows.collect()), db.next_id)
+    kept = state(b.db), state(own.db), found(own.search([0, 0], 2))
+    lsh = create_database(spark, 2, backend="anns", algorithm="lsh")
+    lsh.build_index([[0, 0]])
+    lsh.save(str(tmp_path / "lsh"))
+    for call in (
+        lambda: b.add(["x"], [[1, 2, 3]]), lambda: b.add(["y"], [[1, 2]], [{"k" * 300: 1}]), lambda: own.build_index([[0, 0], [1, 1]], [{}]),
+        lambda: own.build_index([[0, 0, 0]]), lambda: own.load(str(tmp_path / "lsh")), lambda: own.load(str(tmp_path / "nowhere")), lambda: own.search([0, 0], 1, unheard=1),
+    ):
+        with pytest.raises((ValueError, VectorEngineError)):
+            call()
+    assert kept == (state(b.db), state(own.db), found(own.search([0, 0], 2))) and b.get_all_ids() == ["x", "y"]
+    assert own.batch_search([[0, 0]], 1, include_metadata=False, nprobe=2).first().metadata is None and own.search([0, 0], 2, efSearch=10).count() == 2
+    b.db.clear_metadata()
+    assert b.db.size() == 2 and b.db.metadata_size() == 0
+
+
+def test_strategy_by_size(spark):
+    rows = database(spark, np.random.default_rng(0).random((30, 4)).tolist()).rows
+    for params, chosen in (({}, "brute_force"), ({"auto_threshold_ivf": 20}, "ivf_flat"), ({"index_type": "ivfpq", "m": 2, "nbits": 2}, "ivf_pq"), ({"index_type": "?"}, "brute_force")):
+        own = registry.create("by_size", L2, params)
+        own.fit(rows)
+        assert own.stats()["chosen"] == chosen and own.query([0.5] * 4, SearchParams(k=3)).count() == 3
+
+
+def test_matrices_find_what_expressions_find(spark):
+    """Also with zero vectors, ties, and queries in several blocks."""
+    x = np.random.default_rng(4).integers(-2, 3, (300, 3)).astype(float)
+    rows = database(spark, x.tolist()).rows.repartition(5)
+    asked = [x[i].tolist() for i in (0, 1, 2)] + [[0.0, 0.0, 0.0]]
+    for metric in (L2, IP, COSINE):
+        got = sorted((r.query_id, r["rank"], r.id, r.score) for r in search.best_rows(rows, spark.createDataFrame(list(enumerate(asked)), "query_id long, vector array<float>"), 7, metric).collect())
+        want = [(i, n + 1, r.id, r.score) for i, q in enumerate(asked) for n, r in enumerate(search.knn(rows, q, 7, metric).collect())]
+        assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], rtol=0, atol=1e-15)
+
+
 def test_registry():
     assert {"brute_force", "flat", "ivf_flat", "ivf_pq", "hnsw", "lsh"} <= set(list_algorithms())
     assert "lsh" not in registry.supporting(IP) and automatic(10) == "brute_force" and automatic(60_000) == "ivf_flat"
@@ -272,6 +368,18 @@ def test_text_processor(spark):
     assert ok("abc") and not ok("") and not ok("éé") and not ok("é1")
 
 
+def test_buckets_equal_the_expressions(spark):
+    said = ["Hello_World extraordinarily 42", "", None, "É and é, ABC abc 0123456789abcdef", "!!", "a " * 500]
+    docs = spark.createDataFrame(list(enumerate(said)), "i int, t string")
+    token = docs.select("i", F.explode(text.tokens(F.col("t"))).alias("token"))
+    sums = token.groupBy("i", text.bucket(F.col("token"), 50).alias("bucket")).agg(F.sum(1.0 + 0.1 * F.length("token")).alias("w")).collect()
+    size = {i: math.sqrt(sum(r.w**2 for r in sums if r.i == i)) for i in range(len(said))}
+    got = {(r.i, r.bucket): r.weight for r in text.weighted_buckets(docs, "i", "t", 50).collect()}
+    assert got == pytest.approx({(r.i, r.bucket): r.w / size[r.i] for r in sums}) and len(got) > 5
+    dense = [r.v for r in docs.select(text.embedding(F.col("t"), 50).alias("v")).collect()]
+    assert dense[2] is None and not any(dense[1]) and all(dense[i][b] == pytest.approx(w) for (i, b), w in got.items())
+
+
 def test_series_processor(spark):
     s = F.array(*[F.lit(float(i)) for i in range(60)])
     assert value(spark, timeseries.trend(s)) == 1 and len(value(spark, timeseries.window_means(s))) == 2
@@ -292,12 +400,27 @@ def test_audio_and_image_processors(spark):
     wav = b"RIFF" + struct.pack("<I", 36 + len(samples)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 16000, 32000, 2, 16) + b"data" + struct.pack("<I", len(samples)) + samples
     v = audio.encode(wav)
     assert len(v) == 512 and abs((v * v).sum() - 1) < 1e-9
-    with pytest.raises(ValueError, match="WAV"):
-        audio.decode(b"x" * 50)
+    for bad in (b"x" * 50, b"", wav[:20]):
+        with pytest.raises(ValueError, match="WAV"):
+            audio.decode(bad)
+    assert np.allclose(audio.decode(wav), np.frombuffer(samples, "<i2") / 32768)
     rows = b"".join(b"\0" + bytes([10, 20, 30] * 4) for _ in range(4))
     chunk = lambda n, d: struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d))
     png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 4, 4, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
     assert image.decode(png)[0, 0].tolist() == [30, 20, 10]
+    want = np.random.default_rng(1).integers(0, 256, (5, 7, 3))
+    flat, lines = np.zeros((6, 24), np.int64), []
+    flat[1:, 3:] = want.reshape(5, 21)
+    for y in range(1, 6):
+        left, up, corner = flat[y, :-3], flat[y - 1, 3:], flat[y - 1, :-3]
+        guess = left + up - corner
+        near = np.stack([left, up, corner])
+        paeth = near[np.abs(guess - near).argmin(0), np.arange(21)]
+        lines.append(bytes([y - 1]) + ((flat[y, 3:] - [np.zeros(21, np.int64), left, up, (left + up) // 2, paeth][y - 1]) % 256).astype(np.uint8).tobytes())
+    ruled = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 5, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+    assert (image.decode(ruled) == want[:, :, ::-1]).all()
+    told = spark.createDataFrame([(bytearray(p),) for p in (png, wav, b"\xff\xd8\xff\xe0", b"II*\0", b"xx")], "raw binary").select(image.sniffed(F.col("raw")).alias("f"))
+    assert [r.f for r in told.collect()] == ["png", "riff", "jpg", "tiff", None]
     v = image.encode(png)
     assert len(v) == 2048 and np.count_nonzero(v[:96]) == 3 and len(image.encode_video([png] * 3)) == 1024
     own = ProcessorRegistry()
