@@ -7,7 +7,6 @@ import ctypes
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 from typing import Any
@@ -17,32 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
-
-    Where the setting is missing, a local session gets a folder of its own; on a
-    cluster that would lose rows, so there it is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    key = spark.sparkContext.applicationId
-    if key not in _own:
-        _own[key] = tempfile.mkdtemp(prefix="quiverine-")
-        atexit.register(shutil.rmtree, _own[key], ignore_errors=True)
-    return f"file://{_own[key]}"
-
-
-def file_system(spark: SparkSession, uri: str) -> tuple[Any, Any]:
-    """Hadoop's file system of a path, as Spark itself uses it, and the path there."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
+from quiverine.sources.shared import file_system, new_folder
 
 class Scratch:
     """Tables written once in the shared folder: they cut lineage and outlive executors.
@@ -53,10 +27,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
-        self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-        files, path = file_system(spark, self.base)
-        files.mkdirs(path)
-        files.deleteOnExit(path)
+        self.base = new_folder(spark, label)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -190,9 +161,17 @@ def sifted(df: DataFrame, value: Column, bits: DataFrame, inside: bool) -> DataF
 def without_ids(docs: DataFrame, ident: Column, lost: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows whose id isn't in ``lost``, a table of one column, of any size; only rows that may be in it move."""
     bits = scratch.table(bits_of(F.col(lost.columns[0]), lost), "lost-bits")
-    doubtful = sifted(docs, ident, bits, True)
-    # The lost ids grow with the input: never a broadcast.
-    return sifted(docs, ident, bits, False).unionByName(doubtful.join(lost.hint("merge"), ident == lost[lost.columns[0]], "left_anti"))
+    return sifted(docs, ident, bits, False).unionByName(unmatched(sifted(docs, ident, bits, True), lost, ident == lost[lost.columns[0]]))
+
+
+def unmatched(df: DataFrame, lost: DataFrame, on: Column) -> DataFrame:
+    """The rows that no row of ``lost`` matches; either table may be of any size.
+
+    An anti join would be moved below a sieve, before the rows are few; an outer join stays where it is written.
+    """
+    gone = free_name(df, "gone_")
+    both = df.join(lost.withColumn(gone, F.lit(True)).hint("merge"), on, "left")
+    return both.filter(F.col(gone).isNull()).select(*[df[c] for c in df.columns])
 
 
 def running(df: DataFrame, scratch: Scratch, name: str, order: list[Column], group: str | None, sums: Iterable[str]) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, bits_of, free_name, hot_share, sifted, split_count, text_of
+from .common import Scratch, bits_of, free_name, hot_share, sifted, split_count, text_of, unmatched
 
 #: Bits of a key that the directory can use at most; so it has 65,536 entries at most.
 MAX_DEPTH = 16
@@ -172,10 +172,10 @@ def keep_first(docs: DataFrame, capacity: int = 1 << 16, id_col: str = "doc_id",
     ids = scratch.table(bits_of(F.col("lost_id"), lost), "lost-bits")
     with_sha = sifted(docs, ident, ids, True).withColumn(sha, digest(normalised(text_col)))
     on = lambda side: ident.eqNullSafe(side["lost_id"]) & (with_sha[sha] == side["lost_sha"])
-    copies = lost.filter("not repeat").distinct().hint("merge")
-    stay = with_sha.join(copies, on(copies), "left_anti")
+    copies = lost.filter("not repeat").select("lost_id", "lost_sha").distinct()
+    stay = unmatched(with_sha, copies, on(copies))
     repeats = lost.filter("repeat").select("lost_id", "lost_sha").distinct()
     if repeats.limit(1).count():
         twice = stay.join(repeats, on(repeats), "left_semi").dropDuplicates([id_col, sha])
-        stay = stay.join(repeats, on(repeats), "left_anti").unionByName(twice)
+        stay = unmatched(stay, repeats, on(repeats)).unionByName(twice)
     return sifted(docs, ident, ids, False).unionByName(stay.drop(sha))

@@ -13,19 +13,17 @@ candidate is confirmed on the full sets, and components are formed. A bucket wit
 component is done. Of another one, all classes outside of the hub's component stay, and
 of those inside the ones that the distances to the hub leave room for: Jaccard distance
 is a metric, so two classes whose distances to a hub differ by more than the limit can't
-be linked. What is left, a few classes as a rule, is compared by sketches, which are
-signatures of more bins; pairs of different components that may reach the threshold are
-confirmed as well. Where much is left, as of texts that share a passage but not enough
-for a link, the classes are dealt anew by bands of their sketches, which need far more in
-common than a band of the signature; what shares such a band is compared by sketches. So
-there are two passes at any size. A comparison of many classes is dealt out in cells of
-bounded size, so that none is left out and no task holds a bucket.
-
-What can be lost: a pair at the threshold shares no band with a chance under 1e-6, no
-band of the sketches with a chance under 1e-6, and lies five standard deviations below
-the threshold in its sketches with a chance under 1e-6 (the deviation takes the sets'
-sizes into account); more similar pairs are lost less often. Words and shingles are
-64-bit hashes.
+be linked. What is left, a few classes as a rule, meets in cells with its full sets, and
+one link between any two components that have some is kept. Where much is left, as of
+texts that share a passage but not enough for a link, the classes are dealt anew by bands
+of sketches, signatures of more bins, which need far more in common than a band of the
+signature; what shares such a band meets in cells. So there are two passes at any size.
+Cells are bounded in classes and in shingles, so that none is left out and no task holds
+a bucket.
+
+What can be lost: a pair at the threshold shares no band with a chance under 1e-6, and no
+band of the sketches with a chance under 1e-6; more similar pairs are lost less often.
+Words and shingles are 64-bit hashes.
 
 Components come from alternating large-star and small-star steps on tables; nothing is
 gathered on the driver but counts.
@@ -47,17 +45,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches, bits_of, free_name, hot_share, ship, sifted, text_of, without_ids
+from .common import Scratch, batches, bits_of, free_name, hot_share, settle, ship, sifted, text_of, without_ids
 from .shingles import mixed, shingle_sets
 
 #: Bands of a signature.
 BANDS = 32
 #: The chance of missing a pair at the threshold is this at most.
 MISS = 1e-6
-#: What is left of a bucket is compared by sketches at once if it makes so many pairs of different components at most.
-REST_PAIRS = 1 << 21
-#: Classes that meet as many others in one cell of a comparison.
-CELL = 2048
+#: What is left of a bucket meets in cells at once if it makes so many pairs of different components at most.
+REST_PAIRS = 1 << 26
+#: Classes, and shingles of theirs, that meet as many others in one cell.
+CELL, CELL_SHINGLES = 4096, 1 << 21
 #: Bins of the sketches, each of 8 bits.
 SKETCH = 1024
 #: A hub's edges are dealt out in groups of about so many, each with its own copy of the hub's set.
@@ -162,49 +160,31 @@ def signed(docs: DataFrame, near: Near) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, near: Near) -> DataFrame:
-    """The documents' sets of shingles, and marks to compare them by: doc_id, shingles, marks.
-
-    Marks are the set's size and 32 bits of each band's hash, then a sketch: a signature
-    of more bins, with 8 bits of each.
-    """
+    """The documents' sets of shingles, ascending, and their sketches, signatures of 8 bits for each bin: doc_id, shingles, sketch."""
 
     def sets_of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, "text", 512 << 10):
             sets, sizes = shingle_sets(_texts(batch), near.width)
             offsets = np.concatenate([[0], np.cumsum(sizes)])
-            marks: list[bytes | None] = [None] * len(sizes)
+            sketches: list[bytes | None] = [None] * len(sizes)
             full = np.flatnonzero(sizes)
             if len(full):
-                own = bands(signatures(sets, sizes[full], near.bins), near.rows).astype("<u4").view(np.uint8)
-                sketch = mixed(signatures(sets, sizes[full], SKETCH)).astype(np.uint8)
-                size = sizes[full].astype("<u4").view(np.uint8).reshape(-1, 4)
-                for i, mark in zip(full.tolist(), np.concatenate([size, own, sketch], 1), strict=True):
-                    marks[i] = mark.tobytes()
-            columns = [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(sets.view(np.int64))), pa.array(marks, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shingles", "marks"])
-
-    return docs.mapInArrow(sets_of, "doc_id long, shingles array<long>, marks binary")
-
+                found = mixed(signatures(sets, sizes[full], SKETCH)).astype(np.uint8)
+                for i, sketch in zip(full.tolist(), found, strict=True):
+                    sketches[i] = sketch.tobytes()
+            columns = [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(sets.view(np.int64))), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shingles", "sketch"])
 
-def least_shared(near: Near, size: np.ndarray) -> np.ndarray:
-    """How many bins of two sketches are equal at least where sets, the smaller of ``size`` shingles, are at the threshold.
-
-    Five standard deviations below what is expected. Of a small set few bins are full and the others borrow
-    from them, so that their share varies more.
-    """
-    t = near.percent / 100
-    full = SKETCH * -np.expm1(-size / SKETCH)
-    return np.maximum(SKETCH * (t - 5 * np.sqrt(t * (1 - t) * (1 / np.maximum(full, 1) + 3 / SKETCH))), 0)
+    return docs.mapInArrow(sets_of, "doc_id long, shingles array<long>, sketch binary")
 
 
-def _likely(cells: DataFrame, near: Near) -> DataFrame:
-    """Of rows (cell, side, band, member, component, marks) that come cell by cell, the pairs (hub, member) that may be linked.
+def _links_of(cells: DataFrame, near: Near) -> DataFrame:
+    """Of rows (cell, side, member, component, shingles) that come cell by cell, links (hub, member) between components.
 
-    Pairs of one component don't count, nor of one side where it is 0 or more. Of a bucket, a pair counts in
-    the first band that it shares: there it is met, or was ruled out by its distances to a hub.
+    Rows of one side don't meet each other where it is 0 or more.
     """
 
-    def pairs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in rows:
             if not batch.num_rows:
@@ -214,69 +194,102 @@ def _likely(cells: DataFrame, near: Near) -> DataFrame:
                 # The last cell may go on in the next batch.
                 whole = pa.Table.from_batches(held).combine_chunks()
                 last = int(np.flatnonzero(np.diff(whole["cell"].to_numpy()))[-1]) + 1
-                yield _pairs_of(whole.slice(0, last), near)
+                yield _spanning(whole.slice(0, last), near)
                 held = whole.slice(last).to_batches()
         if held:
-            yield _pairs_of(pa.Table.from_batches(held).combine_chunks(), near)
+            yield _spanning(pa.Table.from_batches(held).combine_chunks(), near)
+        settle()
 
-    return cells.select("cell", "side", "band", "member", "component", "marks").mapInArrow(pairs, "hub long, member long")
+    return cells.select("cell", "side", "member", "component", "shingles").mapInArrow(work, "hub long, member long")
 
 
-def _pairs_of(rows: pa.Table, near: Near) -> pa.RecordBatch:
-    cell, side, band, member, component = (rows[c].to_numpy() for c in ("cell", "side", "band", "member", "component"))
-    marks = np.frombuffer(b"".join(rows["marks"].to_pylist()), np.uint8).reshape(len(rows), -1)
-    size = np.ascontiguousarray(marks[:, :4]).view("<u4")[:, 0].astype(np.int64)
-    own, sketch = np.ascontiguousarray(marks[:, 4 : 4 + 4 * BANDS]).view("<u4"), np.ascontiguousarray(marks[:, 4 + 4 * BANDS :])
+def _spanning(rows: pa.Table, near: Near) -> pa.RecordBatch:
+    """Links that connect what any two rows of a cell connect: one for each two components that have some, at most."""
+    cell, side, member, component = (rows[c].to_numpy() for c in ("cell", "side", "member", "component"))
+    lists = rows["shingles"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    ends = np.cumsum(sizes)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
     edges = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(rows)]]).tolist()
-    low: list[np.ndarray] = [np.zeros(0, np.int64)]
-    high: list[np.ndarray] = [np.zeros(0, np.int64)]
+    found: list[tuple[int, int]] = []
     for start, end in zip(edges, edges[1:], strict=False):
-        for i in range(start, end - 1):
-            others = np.arange(i + 1, end)
-            smaller = np.minimum(size[others], size[i])
-            # No set is linked with one that is so much larger.
-            fit = (component[others] != component[i]) & (smaller * 100 >= np.maximum(size[others], size[i]) * near.percent)
-            if side[i] >= 0:
-                fit &= side[others] != side[i]
-            others, smaller = others[fit], smaller[fit]
-            others = others[(sketch[others] == sketch[i]).sum(1) >= least_shared(near, smaller)]
-            earlier = (own[others, : band[i]] == own[i, : band[i]]).any(1)
-            others = member[others[~earlier]]
-            low.append(np.minimum(others, member[i]))
-            high.append(np.maximum(others, member[i]))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(low)), pa.array(np.concatenate(high))], names=["hub", "member"])
-
-
-def _cells(rows: DataFrame, sizes: DataFrame, marks: DataFrame) -> DataFrame:
-    """Rows (bucket, band, member, component) with ``sizes`` (bucket, all), dealt to cells of bounded size in which all pairs of a bucket meet."""
-    sides = F.ceil(F.col("all") / CELL).cast("int")
-    dealt = rows.join(sizes.select("bucket", sides.alias("sides")), "bucket").withColumn("own", F.pmod(F.xxhash64("member"), F.col("sides")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    placed = met.select(cell.alias("cell"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), "band", "member", "component")
-    return placed.join(marks, "member").repartition("cell").sortWithinPartitions("cell", "member")
+        names, label = np.unique(component[start:end], return_inverse=True)
+        if len(names) < 2:
+            continue
+        # The classes outside of the largest component ask, of one side where there are two.
+        asks = np.flatnonzero(label != np.bincount(label).argmax() if (side[start:end] < 0).any() else side[start:end] == side[start:end].min())
+        size = sizes[start:end]
+        _, own = np.unique(flat[ends[start] - sizes[start] : ends[end - 1]], return_inverse=True)
+        before = ends[start:end] - size - (ends[start] - sizes[start])
+        full = np.flatnonzero(size)
+        marked = np.zeros(int(own.max(initial=-1)) + 1, np.uint8)
+        for i in asks.tolist():
+            # No set is linked with one that is so much larger; sides of 0 or more don't meet themselves.
+            fit = (label[full] != label[i]) & (np.minimum(size[full], size[i]) * 100 >= np.maximum(size[full], size[i]) * near.percent)
+            if side[start + i] >= 0:
+                fit &= side[start:end][full] != side[start + i]
+            if not fit.any():
+                continue
+            at = own[before[i] : before[i] + size[i]]
+            marked[at] = 1
+            shared = np.zeros(len(size), np.int64)
+            shared[full] = np.add.reduceat(marked[own], before[full], dtype=np.int64)
+            marked[at] = 0
+            others = full[fit]
+            linked = others[shared[others] * 100 >= (size[others] + size[i] - shared[others]) * near.percent]
+            for j in linked[np.unique(label[linked], return_index=True)[1]].tolist():
+                found.append((int(member[start + i]), int(member[start + j])))
+                label[label == label[j]] = label[i]
+    low, high = ([f(pair) for pair in found] for f in (min, max))
+    return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["hub", "member"])
+
+
+def _cells(rows: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (bucket, member, component) dealt to cells of bounded size, in which all pairs of a bucket meet that count.
+
+    Classes of the largest component, the major one of ``sizes`` (as of ``_several``), needn't meet each other: they
+    are copied once for each cell's worth of the others, and the others once for each of the bucket. A bucket that
+    is small is one cell.
+    """
+    full = lambda n, shingles: F.greatest(F.ceil(n / CELL), F.ceil(shingles / CELL_SHINGLES), F.lit(1)).cast("int")
+    minors, majors = full(F.col("all") - F.col("most"), F.col("shingles") - F.col("most_shingles")), full(F.col("most"), F.col("most_shingles"))
+    shape = sizes.select("bucket", "major", minors.alias("minors"), majors.alias("majors"))
+    dealt = rows.join(shape, "bucket").withColumn("minor", F.col("component") != F.col("major"))
+    number = lambda sides: F.pmod(F.xxhash64("member"), F.col(sides)).cast("int")
+    dealt = dealt.withColumn("own", F.when(F.col("minor"), number("minors")).otherwise(number("majors")))
+    each = lambda sides, of: F.transform(F.sequence(F.lit(0), F.col(sides) - 1), of)
+    place = lambda kind, x, y, side: F.struct(F.xxhash64("bucket", F.lit(kind), x, y).alias("cell"), side.cast("int").alias("side"))
+    # Minor classes meet each other in cells of one kind, and major ones in cells of another.
+    with_minors = each("minors", lambda y: place(0, F.least("own", y), F.greatest("own", y), F.when(F.col("own") == y, -1).otherwise(F.col("own"))))
+    with_majors = each("majors", lambda z: place(1, F.col("own"), z, F.lit(0)))
+    of_major = each("minors", lambda x: place(1, x, F.col("own"), F.lit(1)))
+    alone = (F.col("minors") == 1) & (F.col("majors") == 1)
+    cells = F.when(alone, F.array(place(0, F.lit(0), F.lit(0), F.lit(-1)))).when(F.col("minor"), F.concat(with_minors, with_majors)).otherwise(of_major)
+    placed = dealt.select(F.explode(cells).alias("at"), "member", "component").select("at.cell", "at.side", "member", "component")
+    return placed.join(sets.select(F.col("doc_id").alias("member"), "shingles"), "member").repartition("cell").sortWithinPartitions("cell", "member")
 
 
 def _by_sketch(rows: DataFrame, near: Near) -> DataFrame:
-    """Rows (member, component, marks) by the bands of their sketches: bucket, band (0), member, component."""
+    """Rows (member, component, n, sketch) by the bands of their sketches: bucket, member, component, n."""
     width = near.sketch_rows
     bands_ = SKETCH // width
 
     def deal(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
-            marks = np.frombuffer(b"".join(batch.column("marks").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            sketch = marks[:, 4 + 4 * BANDS :][:, : bands_ * width].astype(np.uint64)
-            repeat = np.repeat(np.arange(batch.num_rows), bands_)
-            columns = [pa.array(bands(sketch, width).ravel()), pa.array(np.zeros(len(repeat), np.int32)), *(batch.column(c).take(pa.array(repeat)) for c in ("member", "component"))]
-            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "band", "member", "component"])
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            repeat = pa.array(np.repeat(np.arange(batch.num_rows), bands_))
+            found = bands(sketch[:, : bands_ * width].astype(np.uint64), width)
+            yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), *(batch.column(c).take(repeat) for c in ("member", "component", "n"))], names=["bucket", "member", "component", "n"])
 
-    return rows.select("member", "component", "marks").mapInArrow(deal, "bucket long, band int, member long, component long")
+    return rows.select("member", "component", "n", "sketch").mapInArrow(deal, "bucket long, member long, component long, n long")
 
 
 def _several(rows: DataFrame) -> DataFrame:
-    """The buckets of more than one component: bucket, all, most (classes of the largest component)."""
-    by_component = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    return by_component.groupBy("bucket").agg(F.sum("n").alias("all"), F.max("n").alias("most")).filter(F.col("all") > F.col("most"))
+    """The buckets of more than one component: bucket, all, shingles; and of the largest component major, most, most_shingles."""
+    by_component = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("own"), F.sum("n").alias("held"))
+    largest = F.max(F.struct("own", "component", "held"))
+    found = by_component.groupBy("bucket").agg(F.sum("own").alias("all"), F.sum("held").alias("shingles"), largest.alias("top"))
+    return found.select("bucket", "all", "shingles", F.col("top.component").alias("major"), F.col("top.own").alias("most"), F.col("top.held").alias("most_shingles")).filter(F.col("all") > F.col("most"))
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
@@ -310,15 +323,16 @@ def links(classes: DataFrame, docs: DataFrame, near: Near, scratch: Scratch) ->
     dealt anew where one bucket has a large share of all classes.
     """
     spark = docs.sparkSession
-    rows = classes.filter("bands is not null").select(F.posexplode("bands").alias("band", "bucket"), F.col("rep").alias("member"))
+    rows = classes.filter("bands is not null").select(F.explode("bands").alias("bucket"), F.col("rep").alias("member"), F.col("n_shingles").alias("n"))
     shared = rows.groupBy("bucket").agg(F.min("member").alias("first"), F.max("member").alias("last"), F.count(F.lit(1)).alias("size")).filter("first < last")
-    state = scratch.table(rows.join(scratch.table(shared.select("bucket", "size"), "shared"), "bucket"), "state")
+    shared = scratch.table(shared.select("bucket", "size"), "shared")
+    state = scratch.table(sifted(rows, F.col("bucket"), scratch.table(bits_of(F.col("bucket"), shared), "shared-bits"), True).join(shared, "bucket"), "state")
     central = scratch.table(state.groupBy("member").agg(F.sum("size").alias("weight")), "central")
-    state = state.drop("size").join(central, "member").select("bucket", "band", "member", "weight")
+    state = state.drop("size").join(central, "member").select("bucket", "member", "n", "weight")
     ids = central.select(F.col("member").alias("doc_id"))
-    asked = sifted(docs, F.col("doc_id"), scratch.table(bits_of(F.col("doc_id"), ids), "central-bits"), True).join(ids.hint("merge"), "doc_id", "left_semi")
+    # An inner join, as a semi join would be moved below the sieve; the ids are distinct.
+    asked = sifted(docs, F.col("doc_id"), scratch.table(bits_of(F.col("doc_id"), ids), "central-bits"), True).join(ids.hint("merge"), "doc_id")
     sets = scratch.table(full_sets(asked, near), "sets")
-    marks = sets.select(F.col("doc_id").alias("member"), "marks")
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
         return scratch.table(_confirmed(pairs.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member")).distinct(), sets, near), name)
@@ -330,25 +344,26 @@ def links(classes: DataFrame, docs: DataFrame, near: Near, scratch: Scratch) ->
     linked = checked.filter("linked").select("hub", "member").distinct()
     label = connected(linked, Scratch(spark, "near-dedup-star"))
     labelled = lambda d, c, to: d.join(label.select(F.col("node").alias(c), F.col("component").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
-    named = met.select("bucket", "band", "member", "hub", F.least("hub", "member").alias("low"), F.greatest("hub", "member").alias("high"))
+    named = met.select("bucket", "member", "n", "hub", F.least("hub", "member").alias("low"), F.greatest("hub", "member").alias("high"))
     known = named.join(checked.select(F.col("hub").alias("low"), F.col("member").alias("high"), "distance"), ["low", "high"])
     known = labelled(labelled(known, "member", "component"), "hub", "hub_component").withColumn("open", F.col("component") != F.col("hub_component"))
-    after = scratch.table(known.select("bucket", "band", "member", "component", "open", "distance"), "after")
+    after = scratch.table(known.select("bucket", "member", "n", "component", "open", "distance"), "after")
     left = scratch.table(after.filter("open").groupBy("bucket").agg(F.min("distance").alias("near_end"), F.max("distance").alias("far_end")), "left")
     slack = 1 - near.percent / 100 + 1e-9
     within = F.col("distance").between(F.col("near_end") - slack, F.col("far_end") + slack)
-    kept = scratch.table(after.join(left, "bucket").filter(F.col("open") | within).select("bucket", "band", "member", "component"), "kept")
+    kept = scratch.table(after.join(left, "bucket").filter(F.col("open") | within).select("bucket", "member", "n", "component"), "kept")
     # Buckets of one component are done.
     several = scratch.table(_several(kept), "several")
     fits = F.col("all") * (F.col("all") - F.col("most")) <= REST_PAIRS
-    found = _likely(_cells(kept, several.filter(fits), marks), near)
+    found = _links_of(_cells(kept, several.filter(fits), sets), near)
     if several.filter(~fits).limit(1).count():
-        large = kept.join(several.filter(~fits).select("bucket"), "bucket").select("member", "component").distinct()
-        again = scratch.table(_by_sketch(large.join(marks, "member"), near), "again")
-        found = found.unionByName(_likely(_cells(again, scratch.table(_several(again), "several-again"), marks), near))
-    rest = confirm(found, "rest")
-    scratch.drop("shared", "state", "central", "central-bits", "hubs", "met", "checked", "after", "left", "kept", "several", "several-again", "again", "sets")
-    return label, rest.filter("linked").select("hub", "member")
+        large = kept.join(several.filter(~fits).select("bucket"), "bucket").select("member", "component", "n").distinct()
+        sketches = sets.select(F.col("doc_id").alias("member"), "sketch")
+        again = scratch.table(_by_sketch(large.join(sketches, "member"), near), "again")
+        found = found.unionByName(_links_of(_cells(again, scratch.table(_several(again), "several-again"), sets), near))
+    rest = scratch.table(found.distinct(), "rest")
+    scratch.drop("shared", "shared-bits", "state", "central", "central-bits", "hubs", "met", "checked", "after", "left", "kept", "several", "several-again", "again", "sets")
+    return label, rest
 
 
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
