@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, running, ship, text_of
+from .common import Scratch, free_name, running, ship, split_count, text_of
 
 #: The published generator's multiplier (Lamping and Veach, 2014): a fixed value.
 STEP = np.uint64(2862933555777941757)
@@ -87,11 +87,18 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id") -> None:
-    """Write the rows with all their columns, a folder for each shard; large shards span several files."""
-    ship(docs.sparkSession)
+    """Write the rows with all their columns, a folder for each shard, by a column ``shard`` (longer where there is one).
+
+    Rows move to a few tasks for each shard, so that a shard has a few files and no task holds a large one.
+    """
+    spark = docs.sparkSession
+    ship(spark)
 
     @F.pandas_udf("int")
     def place(ids: pd.Series) -> pd.Series:
         return pd.Series(jump(stable_key(ids.to_numpy(np.int64)), shards))
 
-    docs.withColumn("shard", place(_known(F.col(id_col).cast("long")))).write.mode("overwrite").partitionBy("shard").parquet(path)
+    name, parts = free_name(docs, "shard"), split_count(spark)
+    placed = docs.withColumn(name, place(_known(F.col(id_col).cast("long"))))
+    salted = placed.repartition(max(parts, shards), name, F.pmod(F.xxhash64(id_col), F.lit(-(-parts // shards) + 1)))
+    salted.write.mode("overwrite").partitionBy(name).parquet(path)

@@ -41,3 +41,13 @@ def jump(key, shards):
         key = (key * 2862933555777941757 + 1) % 2**64
         ahead = int((at + 1) * (float(1 << 31) / float((key >> 33) + 1)))
     return at
+
+
+def statistics(text):
+    """What the quality classifier counts, letter by letter."""
+    data = text.encode()
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in data)
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", low) if w]
+    kinds = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#$%&*@^~_=+<>\\{}[]`", "!", "|", "\n", ".,;:?'\"()-/", "abcdefghijklmnopqrstuvwxyz"]
+    counts = [sum(chr(c) in k for c in data) for k in kinds] + [sum(c >= 128 for c in data)]
+    return [len(data), len(words), len(set(words)), sum(a == b for a, b in zip(words, words[1:])), sum(map(len, words)), *counts]

@@ -217,6 +217,11 @@ def test_quality_on_held_out_rows(spark, docs):
     assert (held.predicted == held.quality).mean() > 0.97
 
 
+def test_quality_statistics_equal_plain_ones(pairs):
+    texts = [t or "" for _, t in pairs] + TEXTS
+    assert quality.statistics([t.encode() for t in texts]).tolist() == [brute.statistics(t) for t in texts]
+
+
 def test_quality_statistics_and_density():
     counts = quality.statistics([b"", b"Aa bb bb 1!\n", "é|".encode()])
     assert counts[1].tolist() == [12, 4, 3, 1, 8, 1, 1, 0, 1, 0, 1, 0, 5, 0] and not counts[0].any() and counts[2][-1] == 2
@@ -436,26 +441,17 @@ def test_a_bucket_of_many_unlinked_classes(spark):
     for i in range(10):
         texts[2 * i + 1] = texts[2 * i] + f" end{i}"
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
-    classes = docs.select(F.col("doc_id").alias("rep"), F.array(F.lit(7).cast("long")).alias("bands"))
+    classes = docs.select(F.col("doc_id").alias("rep"), F.array(F.lit(7).cast("long")).alias("bands"), F.lit(43).cast("long").alias("n_shingles"))
     scratch = common.Scratch(spark, "test-bucket")
     label, between = near_dedup.links(classes, docs, near_dedup.Near(3, 85), scratch)
     linked = {(r.component, r.node) for r in label.collect()} | {(r.hub, r.member) for r in between.collect()}
     assert linked == {(2 * i, 2 * i + 1) for i in range(10)}
 
 
-def test_sketches_of_linked_sets_reach_the_bound():
-    """Small sets and large ones at the threshold of 85%."""
-    rng = np.random.default_rng(8)
-    near = near_dedup.Near(3, 85)
-    for shared, extra in ((17, 3), (34, 6), (170, 30), (1700, 300)):
-        for _ in range(200):
-            x = rng.integers(0, 2**63, shared + extra, dtype=np.uint64)
-            a, b = np.sort(x[: shared + extra // 2]), np.sort(np.concatenate([x[:shared], x[shared + extra // 2 :]]))
-            s = near_dedup.mixed(near_dedup.signatures(np.concatenate([a, b]), np.array([len(a), len(b)]), near_dedup.SKETCH)).astype(np.uint8)
-            assert (s[0] == s[1]).sum() >= near_dedup.least_shared(near, np.array([min(len(a), len(b))]))[0]
-    for own in (near, near_dedup.Near(5, 80)):
-        t, r = own.percent / 100, own.sketch_rows
-        assert (1 - t**r) ** (near_dedup.SKETCH // r) <= 1e-6
+def test_bands_of_sketches_miss_few():
+    for own in (near_dedup.Near(3, 85), near_dedup.Near(5, 80)):
+        r = own.sketch_rows
+        assert (1 - (own.percent / 100) ** r) ** (near_dedup.SKETCH // r) <= 1e-6
 
 
 def test_near_of_odd_rows(odd, empty):
@@ -586,6 +582,14 @@ def test_shards(docs, odd, empty, tmp_path):
         for _, g in rows.groupby("shard"):
             assert sorted(g.slot) == list(range(len(g)))
         assert sorted(zip(rows["size"], rows.text_crc32, strict=True)) == sorted((len(t.encode()) + 16, zlib.crc32(t.encode())) for _, t in texts_of(table))
+        key = lambda i: int(sharding.stable_key(np.array([-(1 << 62) if i is None else i]))[0])
+        plain = sorted((brute.jump(key(i), 40), i is not None, i or 0, zlib.crc32(t.encode()), len(t.encode()) + 16, brute.jump(key(i), 41)) for i, t in texts_of(table))
+        slots, want = {}, []
+        for shard, known, i, crc, size, grown in plain:
+            slots[shard] = slots.get(shard, -1) + 1
+            want.append((shard, slots[shard], known, i, crc, size, grown))
+        got = [(r.shard, r.slot, r.doc_id is not None, r.doc_id or 0, r.text_crc32, r["size"], r.grown_shard) for r in sharding.assign(table, 40).select("shard", "slot", "doc_id", "text_crc32", F.col("size").alias("size"), "grown_shard").collect()]
+        assert sorted(got) == want
     assert sharding.assign(empty, 40).count() == 0
     far = docs.sparkSession.createDataFrame([(2**60 + 1, "a"), (2**60 + 2, "a"), (None, "a")], "doc_id long, text string").coalesce(1)
     got = {r.doc_id: r.shard for r in sharding.assign(far, 1000).collect()}
