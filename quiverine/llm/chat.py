@@ -7,7 +7,8 @@ how the fields become canonical turns. Turns are then written with a template th
 marks them, and control strings inside texts are escaped so that they can be restored.
 
 Defined results: a null role or text counts as empty; turns are taken by turn number,
-nulls last, and by role and text among equal ones; a record whose fields fit no layout
+nulls last, and by role and text among equal ones; turns with a null conversation id are
+one conversation, gathered in one row as every conversation is; a record whose fields fit no layout
 has null turns and a null output; an empty list gives no turns and an empty output; an
 empty table gives no rows; further columns, also ones named like this module's own,
 are kept by ``canonical`` and otherwise not read.
