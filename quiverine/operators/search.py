@@ -7,7 +7,7 @@ expression, so that a search is one scan with a bounded top-k in each partition.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,16 @@ FILTER_FACTOR, FILTER_MOST, HYBRID_FACTOR, RERANK_K, RANGE_MOST = 10, 1000, 2, 1
 BROADCAST_QUERIES, BROADCAST_BYTES = 10_000, 32 << 20
 #: Sums of products in another order may differ by so much, for each unit of the norms' product.
 ROUNDING = 1e-12
+#: Queries of a matrix product, and pairs that are scored exactly, at a time.
+BLOCK, PAIRS = 128, 4096
 #: How the over-fetched rows of a composite search are found: the best so many, as (id, score, metadata).
 Find = Callable[[int], DataFrame]
+#: Pairs of a batch: the query's index in its block, the row's id, the score.
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: Which pairs of some queries (from, to) with all rows at hand count.
+Allow = Callable[[int, int], np.ndarray]
+#: A pass over the rows for a block of queries, by their ids and vectors.
+Pass = Callable[[pa.Array, np.ndarray], DataFrame]
 
 
 def condition(predicate: Column | Callable[[dict], bool]) -> Column:
@@ -147,77 +155,117 @@ def exact_scores(q: np.ndarray, x: np.ndarray, metric: DistanceMetric) -> np.nda
     return np.where(size == 0, 1.0, 1 - dot / np.where(size == 0, 1.0, size))
 
 
-def best_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, metric: DistanceMetric) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pair_scores(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray, metric: DistanceMetric) -> np.ndarray:
+    """The scores of pairs by index, some thousands at a time."""
+    step = range(0, len(i), PAIRS)
+    return np.concatenate([exact_scores(q[i[at : at + PAIRS]], x[j[at : at + PAIRS]], metric) for at in step]) if len(i) else np.zeros(0)
+
+
+def best_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, metric: DistanceMetric, allow: Allow | None = None) -> Found:
     """(index of the query, row id, score) of each query's ``k`` best rows, best first, ties by id.
 
-    A matrix product finds which rows can be among the best, within what rounding may change; their scores are then exact.
+    A matrix product finds which rows can be among the best, within what rounding may change; their scores are then
+    exact. What isn't finite is scored exactly always. ``allow`` tells which pairs count.
     """
     unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1.0)
-    a, b = (unit(q), unit(x)) if metric is DistanceMetric.COSINE else (q, x)
-    square = (b * b).sum(1)
-    bound = np.sqrt(square.max()) if len(b) else 0.0
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(a), 128):
-        own = a[at : at + 128]
-        near = own @ b.T
-        if metric is DistanceMetric.L2:
-            near = 2 * near - square
-        sizes = np.sqrt((own * own).sum(1))
-        if len(x) > k:
-            least = np.partition(near, len(x) - k, axis=1)[:, len(x) - k] - 8 * ROUNDING * (bound * sizes + bound * bound + sizes * sizes + 1e-300)
-        else:
-            least = np.full(len(own), -np.inf)
-        i, j = np.nonzero(near >= least[:, None])
-        score = exact_scores(q[at : at + 128][i], x[j], metric)
-        best = np.lexsort((ids[j], -score if metric.higher_is_better else score, i))
-        i, j, score = i[best], j[best], score[best]
-        keep = np.arange(len(i)) - np.searchsorted(i, np.arange(len(own)))[i] < k
-        out.append((i[keep] + at, ids[j[keep]], score[keep]))
-    return tuple(np.concatenate(p) for p in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # type: ignore[return-value]
-
-
-def _pass(rows: DataFrame, asked: pa.Table, k: int, metric: DistanceMetric) -> DataFrame:
-    """One pass over the rows: each task keeps the best ``k`` rows of each query, and passes them on at its end."""
-    dim = len(asked["query"][0])
-    q, query_ids = _matrix(asked["query"], dim), asked["query_id"]
+    with np.errstate(invalid="ignore", over="ignore"):
+        a, b = (unit(q), unit(x)) if metric is DistanceMetric.COSINE else (q, x)
+        square = (b * b).sum(1)
+    odd = ~np.isfinite(square)
+    bound = np.sqrt(square[~odd].max(initial=0.0))
+    out: list[Found] = []
+    for at in range(0, len(a), BLOCK):
+        own = a[at : at + BLOCK]
+        allowed = allow(at, at + len(own)) if allow else None
+        if allowed is not None and not allowed.any():
+            continue
+        with np.errstate(invalid="ignore", over="ignore"):
+            near = own @ b.T
+            if metric is DistanceMetric.L2:
+                near = 2 * near - square
+            sizes = np.sqrt((own * own).sum(1))
+            near[:, odd] = -np.inf
+            if allowed is not None:
+                near[~allowed] = -np.inf
+            if len(x) > k:
+                least = np.partition(near, len(x) - k, axis=1)[:, len(x) - k] - 8 * ROUNDING * (bound * sizes + bound * bound + sizes * sizes + 1e-300)
+            else:
+                least = np.full(len(own), -np.inf)
+            take = near >= least[:, None]
+        take[:, odd] = True
+        take[~np.isfinite(sizes)] = True
+        if allowed is not None:
+            take &= allowed
+        i, j = np.nonzero(take)
+        i, own_ids, score = top_rows(i, ids[j], pair_scores(q[at : at + BLOCK], x, i, j, metric), len(own), k, metric)
+        out.append((i + at, own_ids, score))
+    return joined(out)
+
+
+def joined(parts: Sequence[Found]) -> Found:
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return tuple(np.concatenate(p) for p in zip(none, *parts, strict=True))  # type: ignore[return-value]
+
+
+def top_rows(i: np.ndarray, ids: np.ndarray, score: np.ndarray, n: int, k: int, metric: DistanceMetric) -> Found:
+    """What is among the ``k`` best of each of ``n`` queries, in their order; NaN is the largest score, as in Spark."""
+    best = np.lexsort((ids, -score, ~np.isnan(score), i) if metric.higher_is_better else (ids, score, i))
+    i, ids, score = i[best], ids[best], score[best]
+    keep = np.arange(len(i)) - np.searchsorted(i, np.arange(n))[i] < k
+    return i[keep], ids[keep], score[keep]
+
+
+def over_rows(rows: DataFrame, columns: Sequence[str], query_ids: pa.Array, k: int, metric: DistanceMetric, find: Callable[[pa.RecordBatch], Iterable[Found]]) -> DataFrame:
+    """One pass over the rows: each task keeps the best ``k`` of what ``find`` finds for each query, and passes them on at its end."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def settled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            i, ids, score = (np.concatenate(p) for p in zip(*held, strict=True))
-            order = np.lexsort((ids, -score if metric.higher_is_better else score, i))
-            i, ids, score = i[order], ids[order], score[order]
-            keep = np.arange(len(i)) - np.searchsorted(i, np.arange(len(q)))[i] < k
-            return i[keep], ids[keep], score[keep]
-
+        held: list[Found] = []
         for batch in batches:
             if batch.num_rows:
-                held.append(best_of(q, _matrix(batch.column("vector"), dim), batch.column("id").to_numpy(), k, metric))
-                held = [settled()]
-        if held:
-            i, ids, score = held[0]
-            yield pa.RecordBatch.from_arrays([query_ids.combine_chunks().take(pa.array(i)), pa.array(ids), pa.array(score)], names=["query_id", "id", "score"])
+                held = [top_rows(*joined([*held, *find(batch)]), len(query_ids), k, metric)]
+        for i, ids, score in held:
+            yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(i)), pa.array(ids), pa.array(score)], names=["query_id", "id", "score"])
 
-    stored = rows.filter(F.col("vector").isNotNull()).select("id", "vector")
+    stored = rows.filter(F.col("vector").isNotNull()).select("id", "vector", *columns)
     return stored.mapInArrow(best, "query_id long, id long, score double")
 
 
-def best_rows(rows: DataFrame, queries: DataFrame, k: int, metric: DistanceMetric) -> DataFrame:
+def vectors_of(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and vectors of a batch of rows."""
+    return batch.column("id").to_numpy(), _matrix(batch.column("vector"), dim)
+
+
+def all_rows(rows: DataFrame, k: int, metric: DistanceMetric) -> Pass:
+    """A pass in which every query meets every row."""
+
+    def one(query_ids: pa.Array, q: np.ndarray) -> DataFrame:
+        def find(batch: pa.RecordBatch) -> Iterator[Found]:
+            ids, x = vectors_of(batch, q.shape[1])
+            yield best_of(q, x, ids, k, metric)
+
+        return over_rows(rows, (), query_ids, k, metric, find)
+
+    return one
+
+
+def best_rows(rows: DataFrame, queries: DataFrame, k: int, metric: DistanceMetric, one: Pass | None = None) -> DataFrame:
     """The ``k`` best rows of each query (query_id, vector): query_id, rank, id, score.
 
-    The queries come to the driver in blocks of bounded size, and each block is one pass over the rows: vectors
-    meet as matrices, and k rows for each query are all that leaves a task.
+    The queries come to the driver in blocks of bounded size, and each block is one pass over the rows (``one``; by
+    default all rows are met): vectors meet as matrices, and k rows for each query are all that leaves a task.
     """
+    if k <= 0:
+        raise VectorEngineError("k must be positive")
     asked = queries.select(F.col("query_id").cast("long"), F.transform("vector", lambda v: v.cast("double")).alias("query")).filter(F.col("query").isNotNull())
-    spark, found = rows.sparkSession, None
+    spark, found, one = rows.sparkSession, None, one or all_rows(rows, k, metric)
     blocks: list[pa.RecordBatch] = []
     held = count = 0
 
     def take() -> None:
         nonlocal found, held, count
-        one = _pass(rows, pa.Table.from_batches(blocks), k, metric)
-        found = one if found is None else found.unionByName(one)
+        block = pa.Table.from_batches(blocks)
+        new = one(pa.concat_arrays(block["query_id"].chunks), _matrix(block["query"], len(block["query"][0])))
+        found = new if found is None else found.unionByName(new)
         blocks.clear()
         held = count = 0
 

@@ -456,3 +456,63 @@ def test_entry_points(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == 10
+
+
+def plain_collection(spark, x):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "id long, vector array<float>")
+    return rows.withColumn("metadata", F.lit(None).cast("map<string,string>")).cache()
+
+
+def batch_and_rows(strategy, asked, k, monkeypatch):
+    """What a batch finds, and how many pairs go on to the ranking."""
+    ranked, n = search.ranked, []
+    with monkeypatch.context() as m:
+        m.setattr(search, "ranked", lambda found, *a: n.append(found.count()) or ranked(found, *a))
+        got = [(r.query_id, r.rank, r.id, round(r.score, 9)) for r in strategy.query_batch(asked, SearchParams(k=k, include_metadata=False)).orderBy("query_id", "rank").collect()]
+    return got, sum(n)
+
+
+def singly(strategy, asked, k):
+    return [(q.query_id, i + 1, r.id, round(r.score, 9)) for q in sorted(asked.collect()) for i, r in enumerate(strategy.query(list(q.vector), SearchParams(k=k)).collect())]
+
+
+@pytest.mark.parametrize(("name", "params"), [("ivf_flat", {"nlist": 4, "nprobe": 4}), ("ivf_pq", {"nlist": 4, "nprobe": 4, "m": 4, "nbits": 3, "refine": 1_000_000})])
+def test_pairs_of_lists_are_no_rows(spark, monkeypatch, name, params):
+    """A batch equals exact search through all lists, and at most ``k`` rows of a query leave each task."""
+    x = np.random.default_rng(7).integers(-3, 4, (4000, 8)).astype(float).tolist()
+    rows = plain_collection(spark, x)
+    strategy, exact = registry.create(name, L2, params), registry.create("flat", L2)
+    strategy.fit(rows)
+    exact.fit(rows)
+    asked = rows.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    got, pairs = batch_and_rows(strategy, asked, 2, monkeypatch)
+    assert got == batch_and_rows(exact, asked, 2, monkeypatch)[0] and len(got) == 400 and pairs < 4000 * 200 / 8
+    assert got[:20] == singly(strategy, asked.filter("query_id < 200"), 2)
+
+
+@pytest.mark.parametrize("metric", [L2, IP, COSINE])
+def test_batches_by_codes_are_cut_where_single_searches_are(spark, monkeypatch, metric):
+    """Also among equal codes and copies of vectors, with queries whose lists are refined whole, and in several blocks."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.standard_normal((900, 8)), np.repeat(rng.standard_normal((3, 8)), 200, 0), rng.standard_normal((20, 8)) * 0.01 + 9]).astype("float32").tolist()
+    rows = plain_collection(spark, x)
+    asked = rows.filter("id % 100 = 0 or id > 1518").select(F.col("id").alias("query_id"), "vector")
+    for refine in (1, 9, 60):
+        strategy = registry.create("ivf_pq", metric, {"nlist": 6, "nprobe": 3, "m": 4, "nbits": 3, "refine": refine})
+        strategy.fit(rows)
+        with monkeypatch.context() as m:
+            m.setattr(search, "BROADCAST_QUERIES", 10)
+            got, pairs = batch_and_rows(strategy, asked, 5, monkeypatch)
+        assert got == singly(strategy, asked, 5) and pairs > 0
+
+
+def test_vectors_that_are_not_finite_hide_no_others(spark):
+    nan, inf = float("nan"), float("inf")
+    x = [[float(i), 1.0] for i in range(30)] + [[nan, 0.0], [inf, 0.0], [3.0, nan]]
+    rows = plain_collection(spark, x)
+    asked = spark.createDataFrame([(0, [3.0, 1.0]), (1, [20.0, 1.0]), (2, None)], "query_id long, vector array<float>")
+    for name, metric in (("flat", L2), ("ivf_flat", L2), ("flat", IP), ("flat", COSINE)):
+        strategy = registry.create(name, metric, {"nlist": 1} if name != "flat" else {})
+        strategy.fit(rows, np.asarray(x[:30]))
+        got = [(r.query_id, r.rank, r.id) for r in strategy.query_batch(asked, SearchParams(k=4)).orderBy("query_id", "rank").collect()]
+        assert got == [r[:3] for r in singly(strategy, asked.filter("query_id < 2"), 4)] and len(got) == 8
